@@ -55,3 +55,8 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 def parts_for(spark: SparkSession, size: int, each: int) -> int:
     """Partitions of about ``each`` bytes, at least the session's default parallelism."""
     return max(spark.sparkContext.defaultParallelism, -(-size // each))
+
+
+def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df with a broadcast hint if it has no more than ``rows`` (narrow) rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from lexiforge.llm.minmax import op2_minhash_near_dedup
 from lexiforge.llm.packing import op1_best_fit_packing
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing,)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
