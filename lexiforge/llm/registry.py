@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from lexiforge.llm.language import op3_language_id
 from lexiforge.llm.minmax import op2_minhash_near_dedup
 from lexiforge.llm.packing import op1_best_fit_packing
+from lexiforge.llm.quality import op4_quality_rules
+from lexiforge.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_language_id, op4_quality_rules, op9_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
