@@ -152,11 +152,17 @@ def _by_prefix(docs: DataFrame, ids: DataFrame, size: int, percent: int) -> Data
     sets = texts.mapInPandas(run, "rep long, component long, n long, found array<long>")
     items = sets.select("rep", "component", "n", F.explode("found").alias("s"))
     ranked = items.join(items.groupBy("s").agg(F.count("*").alias("df")), "s").groupBy("rep", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
-    cut = ranked.select("rep", "component", "n", F.explode(F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))).alias("x"))
-    cut, _ = save(cut.where("x.df > 1").select("rep", "component", "n", F.col("x.s").alias("s")), "prefixes")
-    other = cut.select(F.col("rep").alias("b"), F.col("component").alias("other"), F.col("n").alias("n_b"), "s")
-    near = cut.join(other, "s").where("rep < b and component <> other").where(_similar_size("n", "n_b", percent))
-    return near.select(F.col("rep").alias("hub"), "b").distinct()
+    prefix = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    cut, _ = save(ranked.select("rep", "component", "n", F.posexplode(prefix).alias("at", "x")).where("x.df > 1").select("rep", "component", "n", "at", F.col("x.s").alias("s")), "prefixes")
+    # The smaller set of a pair must meet the other one in a shorter prefix still, and what follows a shared place bounds the overlap.
+    least = F.ceil(F.col("n") * (2 * percent) / (100 + percent))
+    small = cut.where(F.col("at") <= F.col("n") - least)
+    other = cut.select(F.col("rep").alias("b"), F.col("component").alias("other"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), "s")
+    needed = (F.col("n") + F.col("n_b")) * percent / (100 + percent)
+    room = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= needed
+    apart = (F.struct("n", "rep") < F.struct("n_b", "b")) & (F.col("component") != F.col("other"))
+    near = small.join(other, (small["s"] == other["s"]) & apart & room & _similar_size("n", "n_b", percent))
+    return near.select(F.least("rep", "b").alias("hub"), F.greatest("rep", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS) -> DataFrame:
