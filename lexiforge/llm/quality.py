@@ -105,6 +105,7 @@ def references(docs: DataFrame, common: int = COMMON_WORDS) -> dict[str, tuple[n
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: dict[str, Counter] = {}
         chars: dict[str, np.ndarray] = {}
+        totals: Counter[str] = Counter()
 
         def rows() -> pd.DataFrame:
             out = [(lang, w, n) for lang, c in words.items() for w, n in c.items()]
@@ -114,12 +115,14 @@ def references(docs: DataFrame, common: int = COMMON_WORDS) -> dict[str, tuple[n
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                words.setdefault(lang, Counter()).update(_plain(raw))
+                own = _plain(raw)
+                words.setdefault(lang, Counter()).update(own)
+                totals[lang] += len(own)
                 chars[lang] = chars.get(lang, 0) + char_classes(raw)
             if sum(map(len, words.values())) > _HELD:
                 yield rows()
         yield rows()
-        out = [(lang, b"\x00%d" % k, n) for lang, c in chars.items() for k, n in enumerate(c)]
+        out = [(lang, b"\x00%d" % k, n) for lang, c in chars.items() for k, n in enumerate([*c, totals[lang]])]
         yield pd.DataFrame(out, columns=["lang", "word", "n"])
 
     own = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"))
@@ -127,17 +130,18 @@ def references(docs: DataFrame, common: int = COMMON_WORDS) -> dict[str, tuple[n
     counts = own.mapInPandas(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     kind = F.when(F.substring("word", 1, 1) == F.lit(b"\x00"), 0).when(~F.col("word").cast("string").rlike(r"[\p{L}\p{N}]"), 1).otherwise(2)
     per = W.partitionBy("lang", "kind").orderBy(F.desc("n"), "word")
-    top = counts.withColumn("kind", kind).withColumn("rank", F.row_number().over(per)).where(F.col("rank") <= max(common, N_CLASSES))
-    totals = counts.where(kind > 0).groupBy("lang").agg(F.sum("n").alias("total"))
+    top = counts.withColumn("kind", kind).where("kind <> 1").withColumn("rank", F.row_number().over(per)).where(F.col("rank") <= max(common, N_CLASSES + 1))
     found: dict[str, tuple[np.ndarray, dict[bytes, int]]] = {}
-    sums = {r["lang"]: r["total"] for r in totals.orderBy(F.desc("total"), "lang").limit(MAX_LANGUAGES).collect()}
-    for r in top.join(F.broadcast(totals.orderBy(F.desc("total"), "lang").limit(MAX_LANGUAGES).select("lang")), "lang", "left_semi").collect():
-        chars, words = found.setdefault(r["lang"], (np.zeros(N_CLASSES), {}))
+    for r in top.collect():
+        chars, words = found.setdefault(r["lang"], (np.zeros(N_CLASSES + 1), {}))
         if r["kind"] == 0:
             chars[int(bytes(r["word"])[1:])] = r["n"]
-        elif r["kind"] == 2 and r["rank"] <= common:
+        elif r["rank"] <= common:
             words[bytes(r["word"])] = r["n"]
-    return {k: (c, w | {b"": sums.get(k, 0) - sum(w.values())}) for k, (c, w) in found.items()}
+    most = sorted(found, key=lambda k: (-found[k][0][-1], k))[:MAX_LANGUAGES]
+    found = {k: found[k] for k in most}
+    sums = {k: int(c[-1]) for k, (c, _) in found.items()}
+    return {k: (c[:-1], w | {b"": sums[k] - sum(w.values())}) for k, (c, w) in found.items()}
 
 
 def judge(docs: DataFrame, refs: dict[str, tuple[np.ndarray, dict[bytes, int]]], max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
