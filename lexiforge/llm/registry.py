@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexiforge.llm.decontaminate import op6_benchmark_decontamination
 from lexiforge.llm.html import op7_html_extraction
 from lexiforge.llm.language import op3_language_id
 from lexiforge.llm.licenses import op10_license_scan
@@ -12,5 +13,5 @@ from lexiforge.llm.packing import op1_best_fit_packing
 from lexiforge.llm.quality import op4_quality_rules
 from lexiforge.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_language_id, op4_quality_rules, op5_line_dedup, op7_html_extraction, op8_lm_scoring, op9_toxicity, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op3_language_id, op4_quality_rules, op5_line_dedup, op6_benchmark_decontamination, op7_html_extraction, op8_lm_scoring, op9_toxicity, op10_license_scan)}
 ORACLE_SQL: dict[str, str] = {}
