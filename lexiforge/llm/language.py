@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,26 +153,36 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | N
     return fit(sample, document_frequency(own)) if sample else None
 
 
+def decide(model: Model | None, text: str | None) -> tuple[str, float]:
+    if model is None or not text or not _LETTER.search(text):
+        return "und", 0.0
+    x = model.logits(text) / model.temperature
+    e = np.exp(x - x.max())
+    return model.languages[int(e.argmax())], float(e.max() / e.sum())
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score: the most probable language and its calibrated probability."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            lang, score = [], []
-            for text in batch["text"]:
-                if model is None or not text or not _LETTER.search(text):
-                    lang.append("und")
-                    score.append(0.0)
-                    continue
-                x = model.logits(text) / model.temperature
-                e = np.exp(x - x.max())
-                lang.append(model.languages[int(e.argmax())])
-                score.append(float(e.max() / e.sum()))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": lang, "score": np.array(score, dtype=float)})
+            got = [decide(model, t) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": [x for x, _ in got], "score": np.array([p for _, p in got], dtype=float)})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, lang_pred string, score double")
 
 
+def identified(docs: DataFrame, model: Model | None, min_score: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is known with ``min_score`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [decide(model, t) for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([x != "und" and p >= min_score for x, p in got], type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs.where(bucket_of("doc_id", 5) != 0))
