@@ -1,6 +1,539 @@
-"""Registered queries of the engine's own operators."""
+"""Registered queries of the engine's own operators, each with SQL that checks it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexiforge.functions import labels as L
+from lexiforge.functions import text as X
+from lexiforge.functions.rules import FILLER, MAX_LENGTH, MIN_LENGTH, SHAPES, reject_reason
+from lexiforge.operators import context, counts, duplicates, fuzzy, inflection, language, votes
+from lexiforge.operators import vocabulary as V
+from lexiforge.plans import corpus as C
+from lexiforge.plans import novelty
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _list(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+_CORPUS = """corpus AS (SELECT doc_id AS id, concat('u', doc_id % 37) AS author,
+    CAST(make_date(2010 + doc_id % 10, 1 + doc_id % 12, 1) AS VARCHAR) AS date, source, text,
+    regexp_extract_all(lower(text), '[a-z]+') AS tokens FROM documents),
+each AS (SELECT id, author, date, source, unnest(tokens) AS token FROM corpus),
+uniq AS (SELECT DISTINCT id, source, token FROM each)"""
+_DUP = """hashed AS (SELECT id, author, date, source, md5(text) AS hash FROM corpus WHERE length(trim(text)) >= 10),
+dup AS (SELECT id, source, hash FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY date, id, author, source) AS r FROM hashed) WHERE r > 1)"""
+_DF = """freq AS (SELECT token, count(*) AS frequency, count(*) FILTER (WHERE NOT is_dup) AS frequency_deduped
+    FROM (SELECT u.token, d.id IS NOT NULL AS is_dup FROM uniq u LEFT JOIN dup d ON u.id = d.id AND u.source = d.source) GROUP BY token)"""
+_VOCAB = "vocab AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark)"
+_ALL = f"WITH {_CORPUS}, {_DUP}, {_DF}, {_VOCAB}"
+
+
+def _reject_sql(token: str) -> str:
+    """The shape rules without back-references, for a regular-expression engine that has none."""
+    tripled = "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyz")
+    distinct = f"len(list_distinct(string_split({token}, '')))"
+    unit = " OR ".join(f"(length({token}) % {k} = 0 AND length({token}) >= {3 * k} AND {token} = repeat(left({token}, {k}), CAST(length({token}) / {k} AS INT)))" for k in (1, 2, 3))
+    a, b = f"substr({token}, 1, 1)", f"substr({token}, 2, 1)"
+    own = {"run": f"regexp_matches({token}, '{tripled}')", "unit": unit, "abab": f"length({token}) > 4 AND regexp_matches({token}, '^' || {a} || {b} || {a} || {b} || '(' || {a} || {b} || '?)+$')"}
+    rules = [
+        ("not_alpha", f"NOT regexp_matches({token}, '^[a-z]+$')"),
+        ("length", f"length({token}) NOT BETWEEN {MIN_LENGTH} AND {MAX_LENGTH}"),
+        ("tripled_start", f"regexp_matches({token}, '^({tripled})')"),
+        ("stop_word", f"{token} IN {_list(X.STOP_WORDS)}"),
+        ("filler", f"{token} IN {_list(FILLER)}"),
+        ("double_vowel_few", f"regexp_matches({token}, '^(aa|ee|oo|uu)[a-z]*$') AND {distinct} <= length({token}) / 2.0"),
+        *((name, f"({own.get(name) or f"regexp_matches({token}, '{shape}')"}) AND length({token}) >= {least}") for name, shape, least in SHAPES),
+        ("one_letter", f"{distinct} = 1"),
+        ("two_letters", f"length({token}) >= 6 AND {distinct} <= 2"),
+        ("no_vowel", f"length({token}) >= 5 AND NOT regexp_matches({token}, '[aeiou]')"),
+        ("double_vowel", f"regexp_matches({token}, '^(aa|ee|ii|oo|uu)')"),
+    ]
+    return "CASE " + " ".join(f"WHEN {hit} THEN '{name}'" for name, hit in rules) + " END"
+
+
+def query(sql: str | None):
+    def add(f):
+        name = f.__name__.rstrip("_")
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+# Text
+
+_EMOJI = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in X.EMOJI_RANGES) + "]+"
+_W = r"[\p{L}\p{M}\p{N}_]+"
+
+
+@query(rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+    'https?://\S+|www\.\S+', ' URL ', 'g'), 'r/{_W}', ' SUBREDDIT ', 'g'), 'u/{_W}', ' USER ', 'g'), '#{_W}', ' HASHTAG_TOKEN ', 'g'),
+    '{_EMOJI}', ' ', 'g'), '[^\x00-\x7F]', '', 'g'), '[\s\x0b\x1c-\x1f]+', ' ', 'g')) AS clean FROM documents""")
+def normalise_text(spark, d):
+    return C.read(spark, d, "documents").select("doc_id", X.normalise(F.col("text")).alias("clean"))
+
+
+@query(f"WITH {_CORPUS} SELECT id, CAST(len(tokens) AS INT) AS n_tokens, CAST(len(list_filter(tokens, lambda t: t NOT IN {_list(X.STOP_WORDS)})) AS INT) AS n_without_stop_words, md5(array_to_string(tokens, ' ')) AS tokens_md5 FROM corpus")
+def tokenise(spark, d):
+    without = X.tokens(F.col("text"), X.STOP_WORDS)
+    return C.corpus(spark, d).select("id", F.size("tokens").alias("n_tokens"), F.size(without).alias("n_without_stop_words"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
+
+
+_SQUEEZED = r"SELECT doc_id, text, string_split(trim(regexp_replace(text, '[\s\x0b\x1c-\x1f]+', ' ', 'g')), ' ') AS w FROM documents"
+
+
+@query(f"""WITH s AS ({_SQUEEZED}), t AS (SELECT *, array_to_string(w, ' ') AS q, len(w) AS n FROM s),
+    p AS (SELECT *, left(q, instr(lower(q), 'tion') - 1) AS b FROM t WHERE contains(lower(text), 'tion')),
+    f AS (SELECT *, greatest(0, least(length(b) - length(replace(b, ' ', '')) - 50, n - 100)) AS a FROM p)
+    SELECT doc_id, CASE WHEN n <= 100 THEN text ELSE concat(CASE WHEN a > 0 THEN '... ' ELSE '' END, array_to_string(w[a + 1 : a + 100], ' '), CASE WHEN a + 100 < n THEN ' ...' ELSE '' END) END AS clip FROM f""")
+def kwic_window(spark, d):
+    token = F.lit("tion")
+    return C.read(spark, d, "documents").where(F.contains(F.lower("text"), token)).select("doc_id", X.clip_window(F.col("text"), token).alias("clip"))
+
+
+@query(f"""WITH s AS ({_SQUEEZED}), t AS (SELECT *, len(w) AS n FROM s),
+    p AS (SELECT *, list_aggregate(list_transform(list_filter(range(n), lambda i: contains(lower(w[i + 1]), 'tion')), lambda i: least(i, n - i - 1) * 1000000 - i), 'max') AS v FROM t),
+    b AS (SELECT *, CAST(ceil(v / 1000000.0) AS BIGINT) * 1000000 - v AS best FROM p)
+    SELECT doc_id, CASE WHEN n <= 110 THEN text WHEN v IS NULL OR best < 54 THEN array_to_string(w[1:110], ' ') WHEN n - best - 1 < 54 THEN array_to_string(w[n - 109 : n], ' ')
+    ELSE array_to_string(w[best - 53 : best + 55], ' ') END AS clip FROM b""")
+def kwic_balanced(spark, d):
+    return C.read(spark, d, "documents").select("doc_id", X.clip_balanced(F.col("text"), F.lit("tion")).alias("clip"))
+
+
+@query("SELECT doc_id, CASE WHEN instr(lower(text), 'tion') = 0 THEN -1 ELSE CAST(least(instr(lower(text), 'tion') - 1, length(text) - (instr(lower(text), 'tion') - 1) - 4) AS INT) END AS chars FROM documents")
+def context_richness(spark, d):
+    return C.read(spark, d, "documents").select("doc_id", X.richness(F.col("text"), F.lit("tion")).alias("chars"))
+
+
+# Counts
+
+
+@query(f"WITH {_CORPUS} SELECT token, date, count(*) AS n FROM each GROUP BY token, date")
+def token_day_counts(spark, d):
+    return counts.term_day_counts(C.corpus(spark, d))
+
+
+@query(f"WITH {_CORPUS}, t AS (SELECT token, date, count(*) AS n FROM each GROUP BY token, date) SELECT token, string_agg(concat(date, '=', n), ',' ORDER BY date) AS counts, CAST(sum(n) AS BIGINT) AS total FROM t GROUP BY token")
+def token_rollup(spark, d):
+    out = counts.token_rollup(counts.term_day_counts(C.corpus(spark, d)))
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return out.select("token", listed.alias("counts"), "total")
+
+
+@query(f"WITH {_CORPUS} SELECT DISTINCT token FROM each")
+def unique_tokens(spark, d):
+    return C.corpus(spark, d).select(F.explode("tokens").alias("token")).distinct()
+
+
+@query(f"WITH {_CORPUS} SELECT token, count(*) AS frequency FROM uniq GROUP BY token")
+def doc_freq_raw(spark, d):
+    return counts.document_frequency(C.corpus(spark, d).withColumn("is_dup", F.lit(False))).select("token", "frequency")
+
+
+@query(f"{_ALL} SELECT token, frequency, frequency_deduped FROM freq")
+def doc_freq_dedup(spark, d):
+    return C.frequencies(spark, d)
+
+
+@query(f"WITH {_CORPUS} SELECT date, count(*) AS n_rows FROM corpus WHERE len(tokens) > 0 GROUP BY date")
+def rows_per_day(spark, d):
+    return counts.rows_per_day(C.corpus(spark, d))
+
+
+@query(f"WITH {_CORPUS}, a AS (SELECT source, count(DISTINCT author) AS unique_authors FROM corpus GROUP BY source), t AS (SELECT source, count(DISTINCT token) AS n FROM uniq GROUP BY source) SELECT a.source, coalesce(n, 0) AS unique_tokens, unique_authors FROM a LEFT JOIN t ON a.source = t.source")
+def unique_tokens_per_source(spark, d):
+    return counts.unique_per_source(C.corpus(spark, d))
+
+
+@query(f"""{_ALL}, r AS (SELECT count(*) AS n_rows, count(DISTINCT date) AS n_dates, count(DISTINCT source) AS n_sources FROM corpus), k AS (SELECT count(*) AS dup_rows FROM dup),
+    f AS (SELECT count(*) AS unique_tokens, count(*) FILTER (WHERE frequency_deduped > 0) AS unique_tokens_deduped, count(*) FILTER (WHERE frequency_deduped >= 50) AS dictionary_terms FROM freq)
+    SELECT *, n_rows - dup_rows AS deduped_rows FROM r, k, f""")
+def corpus_totals(spark, d):
+    return counts.corpus_totals(C.marked(spark, d), C.frequencies(spark, d), dictionary_min=50)
+
+
+@query(f"{_ALL} SELECT token AS term, frequency_deduped AS count FROM freq WHERE frequency_deduped >= 50")
+def dataset_dictionary(spark, d):
+    return counts.dictionary(C.frequencies(spark, d), 50)
+
+
+@query(f"{_ALL}, o AS (SELECT frequency_deduped AS c, row_number() OVER (ORDER BY frequency_deduped DESC, token) AS r, count(*) OVER () AS n FROM freq) SELECT count(*) AS terms, max(c) AS most, min(c) AS least, max(c) FILTER (WHERE r = n // 2 + 1) AS upper_median FROM o")
+def freq_distribution(spark, d):
+    return counts.frequency_distribution(C.frequencies(spark, d).select(F.col("frequency_deduped").alias("count")))
+
+
+# Duplicates
+
+
+@query(f"{_ALL} SELECT id, source, hash FROM dup")
+def dup_ids(spark, d):
+    return duplicates.duplicate_ids(C.corpus(spark, d))
+
+
+_GROUPS = """g AS (SELECT hash, count(*) AS count, string_agg(DISTINCT author, ',' ORDER BY author) AS authors, string_agg(DISTINCT source, ',' ORDER BY source) AS sources,
+    concat(CASE WHEN count(DISTINCT author) = 1 THEN 'same_author' ELSE 'different_author' END, '_', CASE WHEN count(DISTINCT source) = 1 THEN 'same_source' ELSE 'different_source' END) AS pattern FROM hashed GROUP BY hash HAVING count(*) > 1)"""
+
+
+@query(f"{_ALL}, {_GROUPS} SELECT * FROM g")
+def dup_groups(spark, d):
+    out = duplicates.duplicate_groups(C.corpus(spark, d))
+    return out.select("hash", "count", "pattern", F.array_join("authors", ",").alias("authors"), F.array_join("sources", ",").alias("sources"))
+
+
+@query(f"{_ALL}, {_GROUPS} SELECT pattern, count(*) AS n_groups, CAST(sum(count) AS BIGINT) AS n_rows FROM g GROUP BY pattern")
+def dup_patterns(spark, d):
+    return duplicates.duplicate_groups(C.corpus(spark, d)).groupBy("pattern").agg(F.count("*").alias("n_groups"), F.sum("count").alias("n_rows"))
+
+
+@query(f"""{_ALL}, p AS (SELECT hash, count(*) AS n FROM hashed GROUP BY hash), s AS (SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS unique_hashes, count(*) FILTER (WHERE n > 1) AS groups, CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS total_duplicates FROM p)
+    SELECT *, round(CAST(total_duplicates AS DOUBLE) / n_rows * CAST(100 AS DOUBLE), 2) AS duplicate_rate FROM s""")
+def dup_stats(spark, d):
+    return duplicates.duplicate_stats(C.corpus(spark, d))
+
+
+@query(f"{_ALL} SELECT c.id, c.source FROM corpus c WHERE NOT EXISTS (SELECT 1 FROM dup WHERE dup.id = c.id AND dup.source = c.source)")
+def dup_removed(spark, d):
+    rows = C.corpus(spark, d)
+    return duplicates.drop_duplicates(rows, duplicates.duplicate_ids(rows)).select("id", "source")
+
+
+@query(f"{_ALL} SELECT hash, id FROM (SELECT hash, id, row_number() OVER (PARTITION BY hash ORDER BY date, id, author, source) AS r FROM hashed) WHERE r = 1")
+def dup_survivors(spark, d):
+    return duplicates.survivors(C.corpus(spark, d))
+
+
+# Vocabulary and rules
+
+
+def _tokens(spark, d):
+    return C.corpus(spark, d).select(F.explode("tokens").alias("token")).distinct()
+
+
+@query(f"{_ALL} SELECT DISTINCT token FROM each WHERE token NOT IN (SELECT token FROM vocab)")
+def vocab_filter(spark, d):
+    return V.outside(_tokens(spark, d), C.vocabulary(spark, d))
+
+
+@query(f"{_ALL} SELECT DISTINCT token FROM each WHERE token IN (SELECT token FROM vocab)")
+def vocab_excluded(spark, d):
+    return V.inside(_tokens(spark, d), C.vocabulary(spark, d))
+
+
+@query(f"{_ALL}, t AS (SELECT DISTINCT token FROM each) SELECT token FROM t WHERE {_reject_sql('token')} IS NULL")
+def pattern_keep(spark, d):
+    return _tokens(spark, d).where(reject_reason(F.col("token")).isNull())
+
+
+@query(f"{_ALL}, t AS (SELECT DISTINCT token FROM each), r AS (SELECT {_reject_sql('token')} AS reason FROM t) SELECT reason, count(*) AS n_tokens FROM r GROUP BY reason")
+def reject_reason_counts(spark, d):
+    return _tokens(spark, d).select(reject_reason(F.col("token")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n_tokens"))
+
+
+@query(f"WITH {_CORPUS} SELECT DISTINCT token FROM each WHERE date < '2015-01-01'")
+def precutoff_vocab(spark, d):
+    return V.before_cutoff(C.corpus(spark, d), "2015-01-01")
+
+
+@query(f"WITH {_CORPUS} SELECT token AS term, count(*) FILTER (WHERE CAST(substr(date, 1, 4) AS INT) < 2015) AS count FROM each GROUP BY token HAVING count(*) FILTER (WHERE CAST(substr(date, 1, 4) AS INT) < 2015) > 0")
+def precutoff_freq(spark, d):
+    return V.frequencies_before_year(counts.term_day_counts(C.corpus(spark, d)), 2015)
+
+
+_CANDIDATES = f"""r AS (SELECT f.token, frequency_deduped AS n, v.token IS NOT NULL AS known, {_reject_sql('f.token')} AS reason FROM freq f LEFT JOIN vocab v ON f.token = v.token),
+    c AS (SELECT token, n, CASE WHEN known THEN 'vocab' WHEN reason IS NOT NULL THEN 'pattern' WHEN n < 5 THEN 'low_freq' ELSE 'kept' END AS status, CASE WHEN NOT known THEN reason END AS detail FROM r)"""
+
+
+def _candidates(spark, d):
+    freq = C.frequencies(spark, d)
+    return V.candidates(freq.select("token"), C.vocabulary(spark, d), freq, least=5)
+
+
+@query(f"{_ALL}, {_CANDIDATES} SELECT * FROM c")
+def candidate_status(spark, d):
+    return _candidates(spark, d)
+
+
+@query(f"{_ALL}, {_CANDIDATES} SELECT status, count(*) AS n_tokens FROM c GROUP BY status")
+def funnel(spark, d):
+    return V.funnel(_candidates(spark, d))
+
+
+@query(f"{_ALL} SELECT v.token, coalesce(f.frequency_deduped, 0) AS n, coalesce(f.frequency_deduped, 0) >= 20 AS kept FROM vocab v LEFT JOIN freq f ON v.token = f.token")
+def freq_split(spark, d):
+    freq = C.frequencies(spark, d).select("token", F.col("frequency_deduped").alias("n"))
+    return V.split_by_frequency(C.vocabulary(spark, d), freq, 20)
+
+
+@query(f"""WITH {_CORPUS}, a AS (SELECT token, count(*) AS count FROM each WHERE date < '2013' GROUP BY token), b AS (SELECT token, count(*) AS count FROM each WHERE date >= '2013' GROUP BY token)
+    SELECT coalesce(a.token, b.token) AS term, coalesce(a.count, b.count) AS first_count, coalesce(a.count, 0) + coalesce(b.count, 0) AS sum_count FROM a FULL JOIN b ON a.token = b.token""")
+def dictionary_merge(spark, d):
+    days = counts.term_day_counts(C.corpus(spark, d))
+    a, b = (days.where(w).groupBy(F.col("token").alias("term")).agg(F.sum("n").alias("count")) for w in ("date < '2013'", "date >= '2013'"))
+    return V.merge_dictionaries(a, b).withColumnRenamed("count", "first_count").join(V.add_dictionaries(a, b).withColumnRenamed("count", "sum_count"), "term")
+
+
+# Typos and run-together words
+
+_TERMS = "terms AS (SELECT token AS term, frequency_deduped AS count FROM freq WHERE frequency_deduped >= 40), cand AS (SELECT token FROM freq WHERE frequency_deduped BETWEEN 3 AND 39)"
+_NEAR = """p AS (SELECT c.token, t.term, t.count, levenshtein(c.token, t.term) AS distance FROM cand c, terms t WHERE length(c.token) >= 5 AND abs(length(c.token) - length(t.term)) <= 2 AND levenshtein(c.token, t.term) <= 2),
+    b AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY distance, count DESC, term) AS r FROM p),
+    typo AS (SELECT token, term AS correction, CAST(distance AS INT) AS distance FROM b WHERE r = 1 AND term <> token AND distance > 0 AND CAST(distance AS DOUBLE) / length(token) < 0.3 AND count > 50)"""
+
+
+def _dictionary(spark, d):
+    freq = C.frequencies(spark, d)
+    terms = freq.where("frequency_deduped >= 40").select(F.col("token").alias("term"), F.col("frequency_deduped").alias("count"))
+    return freq.where("frequency_deduped BETWEEN 3 AND 39").select("token"), terms
+
+
+@query(f"{_ALL}, {_TERMS}, {_NEAR} SELECT * FROM typo")
+def typo_levenshtein(spark, d):
+    return fuzzy.typos(*_dictionary(spark, d), mode="levenshtein", min_count=50)
+
+
+@query(None)
+def typo_osa(spark, d):
+    return fuzzy.typos(*_dictionary(spark, d), mode="osa", min_count=50)
+
+
+@query(f"{_ALL}, terms AS (SELECT token AS term, frequency_deduped AS count FROM freq WHERE frequency_deduped >= 30), cand AS (SELECT token FROM freq WHERE frequency_deduped BETWEEN 10 AND 29), {_NEAR} SELECT * FROM typo")
+def typo_second_pass(spark, d):
+    back = C.frequencies(spark, d).where("frequency_deduped >= 10").select("token", F.col("frequency_deduped").alias("n"))
+    return fuzzy.second_pass_typos(back, mode="levenshtein", reference=30, min_count=50)
+
+
+_SPLIT = """w AS (SELECT token, frequency_deduped AS n FROM freq WHERE frequency_deduped >= 10), s AS (SELECT token, unnest(range(2, length(token) - 1)) AS cutpos FROM freq WHERE length(token) >= 6),
+    h AS (SELECT s.token, s.cutpos, a.token AS x, b.token AS y, least(a.n, b.n) AS k FROM s JOIN w a ON a.token = left(s.token, s.cutpos) JOIN w b ON b.token = substr(s.token, s.cutpos + 1)),
+    merged AS (SELECT token, concat(x, ' ', y) AS segmented FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY k DESC, cutpos) AS r FROM h) WHERE r = 1)"""
+
+
+def _merged(spark, d):
+    freq = C.frequencies(spark, d)
+    return fuzzy.split_in_two(freq.select("token"), freq.where("frequency_deduped >= 10").select("token", F.col("frequency_deduped").alias("n")))
+
+
+@query(f"{_ALL}, {_SPLIT} SELECT * FROM merged")
+def segment_two_way(spark, d):
+    return _merged(spark, d)
+
+
+@query(None)
+def segment_words(spark, d):
+    freq = C.frequencies(spark, d)
+    common = freq.where("frequency_deduped >= 10")
+    return fuzzy.segment(freq.select("token"), common.select(F.col("token").alias("term"), F.col("frequency_deduped").alias("count")), common.select("token"))
+
+
+@query(f"""{_ALL}, {_TERMS}, {_NEAR}, {_SPLIT}, x AS (SELECT token, 'typo' AS reason, correction AS detail FROM typo UNION ALL SELECT token, 'merged', segmented FROM merged WHERE token NOT IN (SELECT token FROM typo))
+    SELECT x.token, frequency_deduped AS n, reason, detail FROM x JOIN freq USING (token) WHERE frequency_deduped >= 5""")
+def reintegrate(spark, d):
+    typo = fuzzy.typos(*_dictionary(spark, d), mode="levenshtein", min_count=50)
+    freq = C.frequencies(spark, d).select("token", F.col("frequency_deduped").alias("n"))
+    return V.reintegrate(V.excluded_log(typo, _merged(spark, d)), freq, 5)
+
+
+# Contexts
+
+_POOL = """cand AS (SELECT token FROM freq WHERE frequency_deduped BETWEEN 12 AND 40 AND length(token) >= 5),
+    pool AS (SELECT u.token, c.id, c.source, c.text, len(c.tokens) AS tc FROM uniq u JOIN cand USING (token) JOIN corpus c USING (id))"""
+_QUOTA = """a AS (SELECT *, max(tc >= 15) OVER (PARTITION BY token) AS anyrich FROM pool), b AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY tc DESC, id) AS rt FROM a WHERE NOT anyrich OR tc >= 15),
+    g AS (SELECT *, count(*) OVER (PARTITION BY token, source) AS n, min(rt) OVER (PARTITION BY token, source) AS f, row_number() OVER (PARTITION BY token, source ORDER BY rt) AS rs FROM b),
+    k AS (SELECT *, dense_rank() OVER (PARTITION BY token ORDER BY n DESC, f) AS sr FROM g), m AS (SELECT *, least(3, max(sr) OVER (PARTITION BY token)) AS m FROM k),
+    q AS (SELECT *, CASE WHEN m = 1 THEN 10 WHEN sr > 3 THEN 0 ELSE 10 // m + CASE WHEN sr <= 10 % m THEN 1 ELSE 0 END END AS slots FROM m),
+    z AS (SELECT *, CASE WHEN rs <= slots THEN 0 WHEN sr > 3 THEN 1 END AS kind FROM q),
+    placed AS (SELECT token, id, source, text, tc, row_number() OVER (PARTITION BY token ORDER BY kind, sr, rs) AS place FROM z WHERE kind IS NOT NULL)"""
+
+
+def _cand(spark, d):
+    return C.frequencies(spark, d).where("frequency_deduped BETWEEN 12 AND 40").where(F.length("token") >= 5).select("token")
+
+
+def _pool(spark, d):
+    return context.contexts_of(C.corpus(spark, d), _cand(spark, d), limit=1 << 30)
+
+
+@query(f"{_ALL}, {_POOL} SELECT token, id, source, tc FROM pool")
+def context_pool(spark, d):
+    return _pool(spark, d).drop("text")
+
+
+@query(f"{_ALL}, {_POOL}, {_QUOTA} SELECT token, id, source, tc, CAST(place AS INT) AS place FROM placed WHERE place <= 10")
+def context_quota(spark, d):
+    return context.quota_pool(_pool(spark, d))
+
+
+def _diverse_sql(qualify: int) -> str:
+    return f"""{_ALL}, {_POOL}, {_QUOTA}, c1 AS (SELECT *, row_number() OVER (PARTITION BY token, md5(text) ORDER BY place) AS d1 FROM placed WHERE place <= 10),
+    c2 AS (SELECT *, count(*) OVER (PARTITION BY token, source) AS n, min(place) OVER (PARTITION BY token, source) AS f FROM c1 WHERE d1 = 1),
+    c3 AS (SELECT *, dense_rank() OVER (PARTITION BY token ORDER BY n DESC, f) AS sr FROM c2), c4 AS (SELECT *, sr = 1 OR (sr <= 3 AND n >= {qualify}) AS qual FROM c3),
+    c5 AS (SELECT *, max(CASE WHEN qual THEN sr END) OVER (PARTITION BY token) AS nq, row_number() OVER (PARTITION BY token, source ORDER BY CASE WHEN qual THEN -length(text) ELSE 0 END, place) AS rs FROM c4),
+    c6 AS (SELECT * FROM c5 WHERE NOT qual OR rs <= CASE WHEN nq = 1 THEN 3 WHEN nq = 2 THEN CASE WHEN sr = 1 THEN 2 ELSE 1 END ELSE 1 END),
+    c7 AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY qual DESC, sr, rs) AS k FROM c6) SELECT token, id, source, CAST(k AS INT) AS place FROM c7 WHERE k <= 3"""
+
+
+def _diverse(spark, d, qualify):
+    pool = _pool(spark, d)
+    placed = context.quota_pool(pool).join(pool.select("token", "id", "text"), ["token", "id"])
+    return context.diverse(placed, qualify=qualify, limit=1 << 30).drop("text")
+
+
+@query(_diverse_sql(10))
+def context_diverse3(spark, d):
+    return _diverse(spark, d, 10)
+
+
+@query(_diverse_sql(2))
+def context_diverse3_many_sources(spark, d):
+    return _diverse(spark, d, 2)
+
+
+@query(f"{_ALL}, {_POOL}, {_QUOTA}, p AS (SELECT token, count(*) AS n FROM placed WHERE place <= 10 GROUP BY token) SELECT count(n) AS with_contexts, count(*) FILTER (WHERE n IS NULL) AS without, CAST(coalesce(sum(n), 0) AS BIGINT) AS contexts FROM (SELECT DISTINCT token FROM freq WHERE frequency_deduped >= 12) t LEFT JOIN p USING (token)")
+def context_totals(spark, d):
+    tokens = C.frequencies(spark, d).where("frequency_deduped >= 12").select("token")
+    return context.context_totals(tokens, context.quota_pool(_pool(spark, d)))
+
+
+# Languages
+
+_NAMES = {"en": "english", "fr": "french", "de": "german", "es": "klingon"}
+
+
+@query("""SELECT doc_id, name, conf, CASE WHEN name = 'french' OR name = 'german' THEN conf >= 0.75 ELSE false END AS foreign_
+    FROM (SELECT doc_id, CASE lang WHEN 'en' THEN 'english' WHEN 'fr' THEN 'french' WHEN 'de' THEN 'german' WHEN 'es' THEN 'klingon' END AS name, CAST(doc_id % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS conf FROM documents)""")
+def language_gate(spark, d):
+    name = F.when(F.lit(False), "")
+    for code, own in _NAMES.items():
+        name = name.when(F.col("lang") == code, own)
+    rows = C.read(spark, d, "documents").select("doc_id", name.alias("name"), ((F.col("doc_id") % 100).cast("double") / F.lit(100).cast("double")).alias("conf"))
+    return rows.withColumn("foreign_", language.is_foreign(F.col("name"), F.col("conf")))
+
+
+# Labels and votes
+
+MODELS = ["a", "b", "c"]
+
+
+def _digit_sql(expr: str) -> str:
+    return f"CASE WHEN {expr} IN ('0','1','2','3','4') THEN 'NEOLOGISM' WHEN {expr} IN ('5','6','7','8') THEN 'NONE' WHEN {expr} IN ('9','a','b') THEN 'ENTITY' WHEN {expr} IN ('c','d','e') THEN 'FOREIGN' END"
+
+
+_VOTES = "t AS (SELECT token FROM freq WHERE frequency_deduped >= 3), v AS (" + " UNION ALL ".join(f"SELECT '{m}' AS model, token, {_digit_sql(f'substr(md5(token), {i}, 1)')} AS label FROM t" for i, m in enumerate(MODELS, 1)) + "), votes AS (SELECT * FROM v WHERE label IS NOT NULL)"
+_MAJORITY = """w AS (SELECT token, max(label) FILTER (WHERE model = 'a') AS a, max(label) FILTER (WHERE model = 'b') AS b, max(label) FILTER (WHERE model = 'c') AS c, count(*) AS n, count(DISTINCT label) AS k, mode(label) AS top FROM votes GROUP BY token),
+    maj AS (SELECT token, CASE WHEN k = 1 THEN top WHEN n = 3 AND k = 2 THEN CASE WHEN a = b OR a = c THEN a ELSE b END ELSE 'NONE' END AS label,
+    CASE WHEN n = 3 THEN CASE k WHEN 1 THEN 'unanimous' WHEN 2 THEN 'majority' ELSE 'tie' END WHEN n = 2 THEN CASE k WHEN 1 THEN 'unanimous_2of2' ELSE 'tie_2of2' END ELSE 'single' END AS vote_type,
+    CAST(CASE WHEN k = 1 THEN n WHEN n = 3 AND k = 2 THEN 2 ELSE 0 END AS INT) AS agreement, coalesce(a, '') AS a, coalesce(b, '') AS b, coalesce(c, '') AS c FROM w)"""
+
+
+def _votes(spark, d):
+    tokens = C.frequencies(spark, d).where("frequency_deduped >= 3").select("token")
+    digit = lambda i: F.substring(F.md5("token"), i, 1)
+    label = lambda x: F.when(x.isin(*"01234"), "NEOLOGISM").when(x.isin(*"5678"), "NONE").when(x.isin(*"9ab"), "ENTITY").when(x.isin(*"cde"), "FOREIGN")
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), label(digit(i)).alias("label")) for i, m in enumerate(MODELS, 1)]))
+    return tokens.select("token", each.alias("x")).select("x.model", "token", "x.label").where("label IS NOT NULL")
+
+
+@query(f"{_ALL}, {_VOTES}, {_MAJORITY} SELECT * FROM maj")
+def majority_vote(spark, d):
+    return votes.majority(_votes(spark, d), MODELS)
+
+
+@query(f"{_ALL}, {_VOTES}, {_MAJORITY} SELECT label, vote_type, count(*) AS n_tokens FROM maj GROUP BY label, vote_type")
+def vote_distribution(spark, d):
+    return votes.distribution(votes.majority(_votes(spark, d), MODELS))
+
+
+@query(f"{_ALL}, {_VOTES} SELECT model, label, count(*) AS n_tokens FROM votes GROUP BY model, label")
+def model_label_counts(spark, d):
+    return votes.model_labels(_votes(spark, d))
+
+
+@query(f"""{_ALL}, {_VOTES} SELECT x.model AS m1, y.model AS m2, count(*) AS shared, count(*) FILTER (WHERE x.label = y.label) AS agree, count(*) FILTER (WHERE x.label <> y.label) AS disagree,
+    round(CAST(count(*) FILTER (WHERE x.label = y.label) AS DOUBLE) / count(*) * CAST(100 AS DOUBLE), 2) AS pct FROM votes x JOIN votes y ON x.token = y.token AND x.model < y.model GROUP BY x.model, y.model""")
+def pairwise_agreement(spark, d):
+    return votes.pairwise_agreement(_votes(spark, d))
+
+
+_LOG = f"lg AS (SELECT CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS model, token, id AS seq, coalesce({_digit_sql('substr(md5(concat(token, id)), 1, 1)')}, 'ERROR') AS label FROM uniq WHERE token IN (SELECT token FROM freq WHERE frequency_deduped >= 20))"
+
+
+@query(f"{_ALL}, {_LOG} SELECT model, token, arg_max(label, seq) AS label FROM lg WHERE label <> 'ERROR' GROUP BY model, token")
+def last_write_wins(spark, d):
+    own = C.frequencies(spark, d).where("frequency_deduped >= 20").select("token")
+    each = C.corpus(spark, d).select("id", F.explode(F.array_distinct("tokens")).alias("token")).join(own, "token", "left_semi")
+    x = F.substring(F.md5(F.concat("token", F.col("id").cast("string"))), 1, 1)
+    label = F.when(x.isin(*"01234"), "NEOLOGISM").when(x.isin(*"5678"), "NONE").when(x.isin(*"9ab"), "ENTITY").when(x.isin(*"cde"), "FOREIGN").otherwise("ERROR")
+    return votes.last_labels(each.select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("model"), "token", label.alias("label"), F.col("id").alias("seq")))
+
+
+_VERDICT = f"jd AS (SELECT token, CASE WHEN substr(md5(token), 5, 1) = '0' THEN 'UNKNOWN' ELSE coalesce({_digit_sql('substr(md5(token), 4, 1)')}, 'UNKNOWN') END AS verdict FROM t WHERE substr(md5(token), 6, 1) < '8'), fin AS (SELECT token, CASE verdict WHEN 'UNKNOWN' THEN 'NONE' ELSE verdict END AS final_label FROM maj JOIN jd USING (token) WHERE label = 'NEOLOGISM')"
+
+
+def _final(spark, d):
+    tokens = C.frequencies(spark, d).where("frequency_deduped >= 3").select("token").where(F.substring(F.md5("token"), 6, 1) < "8")
+    x = F.substring(F.md5("token"), 4, 1)
+    label = F.when(F.substring(F.md5("token"), 5, 1) == "0", "UNKNOWN").when(x.isin(*"01234"), "NEOLOGISM").when(x.isin(*"5678"), "NONE").when(x.isin(*"9ab"), "ENTITY").when(x.isin(*"cde"), "FOREIGN").otherwise("UNKNOWN")
+    return votes.apply_verdicts(votes.majority(_votes(spark, d), MODELS), tokens.select("token", label.alias("verdict")))
+
+
+@query(f"{_ALL}, {_VOTES}, {_MAJORITY}, {_VERDICT} SELECT * FROM fin")
+def verifier_merge(spark, d):
+    return _final(spark, d)
+
+
+@query(f"{_ALL}, {_VOTES}, {_MAJORITY}, {_VERDICT} SELECT count(*) AS judged, count(*) FILTER (WHERE final_label <> 'NEOLOGISM') AS overruled, round(CAST(count(*) FILTER (WHERE final_label <> 'NEOLOGISM') AS DOUBLE) / count(*) * CAST(100 AS DOUBLE), 2) AS pct FROM fin")
+def verifier_overrule(spark, d):
+    return votes.overruled(_final(spark, d))
+
+
+_RESPONSES = """x AS (SELECT token, left(md5(token), 2) AS g, substr(md5(token), 3, 1) AS c FROM freq WHERE frequency_deduped >= 20),
+    y AS (SELECT g, token, CASE WHEN c < '4' THEN concat(token, ':neologism') WHEN c < '8' THEN concat(' ', token, ' : an ENTITY or FOREIGN') WHEN c < 'c' THEN concat(token, ':who knows') END AS line FROM x)"""
+
+
+@query(f"{_ALL}, {_RESPONSES} SELECT g AS \"group\", token, CASE WHEN line IS NULL THEN 'UNKNOWN' WHEN contains(line, ':neologism') THEN 'NEOLOGISM' WHEN contains(line, 'ENTITY') THEN 'ENTITY' ELSE 'NONE' END AS label FROM y")
+def parse_labels(spark, d):
+    own = C.frequencies(spark, d).where("frequency_deduped >= 20").select("token", F.substring(F.md5("token"), 1, 2).alias("group"), F.substring(F.md5("token"), 3, 1).alias("c"))
+    line = F.when(F.col("c") < "4", F.concat("token", F.lit(":neologism"))).when(F.col("c") < "8", F.concat(F.lit(" "), "token", F.lit(" : an ENTITY or FOREIGN"))).when(F.col("c") < "c", F.concat("token", F.lit(":who knows")))
+    responses = own.select("group", "token", line.alias("line")).groupBy("group").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("response"))
+    return votes.parse_responses(responses, own.select("group", "token"))
+
+
+# Inflections
+
+_BASES = " UNION ALL ".join(
+    f"SELECT token, {k} AS k, concat(left(token, length(token) - {drop}), '{add}') AS base, '{name}' AS rule FROM n WHERE token LIKE '%{suffix}' AND length(token) >= {least}" + (" AND token NOT LIKE '%ss' AND token NOT LIKE '%us'" if suffix == "s" else "")
+    for k, (suffix, least, drop, add, name) in enumerate(inflection.RULES)
+)
+_INFLECT = f"n AS (SELECT token FROM freq), bs AS ({_BASES}), fnd AS (SELECT bs.*, row_number() OVER (PARTITION BY bs.token ORDER BY k) AS r FROM bs JOIN n ON n.token = bs.base WHERE length(base) >= 3), inf AS (SELECT token, base, rule FROM fnd WHERE r = 1)"
+
+
+@query(f"{_ALL}, {_INFLECT} SELECT * FROM inf")
+def inflection_map(spark, d):
+    return inflection.inflections(_tokens(spark, d))
+
+
+@query(f"{_ALL}, {_INFLECT} SELECT rule, count(*) AS n_tokens FROM inf GROUP BY rule")
+def inflection_rule_counts(spark, d):
+    return inflection.rule_counts(inflection.inflections(_tokens(spark, d)))
+
+
+@query(f"{_ALL}, {_VOTES}, {_MAJORITY}, n AS (SELECT token FROM maj WHERE label = 'NEOLOGISM'), bs AS ({_BASES}), fnd AS (SELECT bs.*, row_number() OVER (PARTITION BY bs.token ORDER BY k) AS r FROM bs JOIN n ON n.token = bs.base WHERE length(base) >= 3) SELECT m.token, m.label AS final_label, CASE WHEN m.label <> 'NEOLOGISM' THEN 'not_neologism' WHEN f.base IS NOT NULL THEN 'dropped' ELSE 'kept' END AS dedup_status, coalesce(f.base, '') AS base, coalesce(f.rule, '') AS rule FROM maj m LEFT JOIN fnd f ON f.token = m.token AND f.r = 1")
+def inflection_full(spark, d):
+    return novelty.folded(votes.majority(_votes(spark, d), MODELS))
+
+
+# The flagship
+
+
+@query(f"{_ALL}, e AS (SELECT DISTINCT u.id, u.token FROM uniq u WHERE NOT EXISTS (SELECT 1 FROM dup WHERE dup.id = u.id)), k AS (SELECT token, count(*) AS df FROM e WHERE {_reject_sql('token')} IS NULL GROUP BY token) SELECT token, df FROM k WHERE df >= (SELECT count(*) * CAST(0.02 AS DOUBLE) FROM corpus) AND token NOT IN (SELECT token FROM vocab)")
+def novel_tokens(spark, d):
+    return novelty.novel_tokens(C.corpus(spark, d), C.vocabulary(spark, d))
