@@ -11,16 +11,23 @@ from lexiforge.functions.text import clip_balanced, clip_window
 MAX_CONTEXTS, MIN_TOKENS = 10, 15
 
 
-def contexts_of(rows: DataFrame, tokens: DataFrame, limit: int = 100, per_source_cap: int | None = None) -> DataFrame:
-    """rows(id, source, text, tokens) to (token, id, source, text, tc): a row for each candidate in each row; tc: its number of tokens."""
-    each = rows.select("id", "source", "text", F.size("tokens").cast("long").alias("tc"), F.explode(F.array_distinct("tokens")).alias("token"))
-    found = each.join(tokens.select("token"), "token", "left_semi")
-    clipped = found.withColumn("text", clip_window(F.col("text"), F.col("token"), limit))
-    held = clipped.where(F.contains(F.lower("text"), F.lower("token"))).select("token", "id", "source", "text", "tc")
+def contexts_of(rows: DataFrame, tokens: DataFrame, per_source_cap: int | None = None) -> DataFrame:
+    """rows(id, source, tokens) to (token, id, source, tc): a row for each candidate in each row; tc: its number of tokens.
+
+    Texts aren't carried along: they are attached to the few contexts that are kept.
+    """
+    each = rows.select("id", "source", F.size("tokens").cast("long").alias("tc"), F.explode(F.array_distinct("tokens")).alias("token"))
+    found = each.join(tokens.select("token"), "token", "left_semi").select("token", "id", "source", "tc")
     if per_source_cap is None:
-        return held
+        return found
     order = W.partitionBy("token", "source").orderBy("id")
-    return held.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_source_cap).drop("k")
+    return found.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_source_cap).drop("k")
+
+
+def attach_texts(contexts: DataFrame, rows: DataFrame, limit: int = 100) -> DataFrame:
+    """contexts with the clipped text of their row; those whose clip misses the token are left out."""
+    joined = contexts.join(rows.select("id", "source", "text"), ["id", "source"]).withColumn("text", clip_window(F.col("text"), F.col("token"), limit))
+    return joined.where(F.contains(F.lower("text"), F.lower("token"))).select(*contexts.columns, "text")
 
 
 def quota_pool(pool: DataFrame, most: int = MAX_CONTEXTS, least_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -28,17 +35,18 @@ def quota_pool(pool: DataFrame, most: int = MAX_CONTEXTS, least_tokens: int = MI
 
     One source: its longest. Else the three largest sources share the places evenly, earlier ones get what is left
     over, and only further sources fill up. Texts under ``least_tokens`` count only where a token has no longer one.
+    Of each source only its first ``most`` rows go on to the windows over a token, so a frequent token is no hot task.
     """
     token, source = W.partitionBy("token"), W.partitionBy("token", "source")
-    rich = pool.withColumn("any", F.max(F.col("tc") >= least_tokens).over(token)).where(~F.col("any") | (F.col("tc") >= least_tokens))
-    ranked = rich.withColumn("rt", F.row_number().over(token.orderBy(F.desc("tc"), "id")))
-    sized = ranked.withColumn("n", F.count("*").over(source)).withColumn("f", F.min("rt").over(source))
-    sized = sized.withColumn("sr", F.dense_rank().over(token.orderBy(F.desc("n"), "f"))).withColumn("rs", F.row_number().over(source.orderBy("rt")))
-    shared = F.least(F.lit(3), F.max("sr").over(token))
-    sized = sized.withColumn("m", shared)
+    some = pool.groupBy("token").agg(F.max(F.col("tc") >= least_tokens).alias("any"))
+    rich = pool.join(some, "token").where(~F.col("any") | (F.col("tc") >= least_tokens)).drop("any")
+    top = rich.withColumn("rs", F.row_number().over(source.orderBy(F.desc("tc"), "id"))).where(F.col("rs") <= most)
+    sizes = rich.groupBy("token", "source").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("tc")).alias("t"), "id")).alias("f"))
+    sizes = sizes.withColumn("sr", F.row_number().over(token.orderBy(F.desc("n"), "f")))
+    sizes = sizes.withColumn("m", F.least(F.lit(3), F.max("sr").over(token))).select("token", "source", "sr", "m")
     slots = F.when(F.col("m") == 1, most).when(F.col("sr") > 3, 0).otherwise(F.floor(F.lit(most) / F.col("m")) + F.when(F.col("sr") <= F.pmod(F.lit(most), F.col("m")), 1).otherwise(0))
     kind = F.when(F.col("rs") <= slots, 0).when(F.col("sr") > 3, 1)
-    placed = sized.withColumn("kind", kind).where("kind is not null")
+    placed = top.join(sizes, ["token", "source"]).withColumn("kind", kind).where("kind is not null")
     placed = placed.withColumn("place", F.row_number().over(token.orderBy("kind", "sr", "rs")))
     return placed.where(F.col("place") <= most).select("token", "id", "source", "tc", "place")
 

@@ -359,12 +359,12 @@ def _cand(spark, d):
 
 
 def _pool(spark, d):
-    return context.contexts_of(C.corpus(spark, d), _cand(spark, d), limit=1 << 30)
+    return context.contexts_of(C.corpus(spark, d), _cand(spark, d))
 
 
 @query(f"{_ALL}, {_POOL} SELECT token, id, source, tc FROM pool")
 def context_pool(spark, d):
-    return _pool(spark, d).drop("text")
+    return _pool(spark, d)
 
 
 @query(f"{_ALL}, {_POOL}, {_QUOTA} SELECT token, id, source, tc, CAST(place AS INT) AS place FROM placed WHERE place <= 10")
@@ -382,8 +382,7 @@ def _diverse_sql(qualify: int) -> str:
 
 
 def _diverse(spark, d, qualify):
-    pool = _pool(spark, d)
-    placed = context.quota_pool(pool).join(pool.select("token", "id", "text"), ["token", "id"])
+    placed = context.attach_texts(context.quota_pool(_pool(spark, d)), C.corpus(spark, d), limit=1 << 30)
     return context.diverse(placed, qualify=qualify, limit=1 << 30).drop("text")
 
 

@@ -56,8 +56,7 @@ def candidates(rows: DataFrame, vocab: DataFrame, general: DataFrame, limits: Li
 
 def label(rows: DataFrame, tokens: DataFrame, models: dict[str, classify.Classifier], limits: Limits = Limits()) -> DataFrame:
     """(token, label, vote_type, agreement, a column for each model) of tokens, from their contexts."""
-    pool = context.contexts_of(rows, tokens, limits.clip)
-    placed = context.quota_pool(pool, limits.contexts).join(pool.select("token", "id", "text"), ["token", "id"])
+    placed = context.attach_texts(context.quota_pool(context.contexts_of(rows, tokens), limits.contexts), rows, limits.clip)
     index = context.attach_contexts(tokens.select("token"), context.context_index(context.diverse(placed, limits.shown)))
     labels = None
     for name, model in models.items():
