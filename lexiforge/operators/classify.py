@@ -53,10 +53,13 @@ def respond(prompts: DataFrame, classifier: Classifier, max_chars: int | None =
     return prompts.select(key, "prompt").mapInPandas(run, f"{key} string, response string")
 
 
-def classify(index: DataFrame, classifier: Classifier, size: int = GROUP, max_chars: int | None = None) -> DataFrame:
-    """index(token, contexts) to (token, label): in groups, then one by one where that gave none, then NONE."""
+def classify(index: DataFrame, classifier: Classifier, size: int = GROUP, max_chars: int | None = None, keep=lambda df: df) -> DataFrame:
+    """index(token, contexts) to (token, label): in groups, then one by one where that gave none, then NONE.
+
+    keep: materialises the responses, so no prompt is sent twice; the plans pass a checkpoint.
+    """
     groups = prompt_groups(index, size)
-    responses = respond(group_prompts(index, groups), classifier, max_chars)
+    responses = keep(respond(group_prompts(index, groups), classifier, max_chars))
     first = parse_responses(responses.where("response is not null"), groups).select("token", "label")
     again = first.where("label = 'UNKNOWN'").join(index, "token").select("token", prompt(F.col("token"), F.col("contexts")).alias("prompt"))
     second = respond(again, classifier).select("token", single_label(F.col("response")).alias("retry"))

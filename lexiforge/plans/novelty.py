@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexiforge.functions.rules import is_valid_candidate
 from lexiforge.functions.text import STOP_WORDS
 from lexiforge.operators import classify, context, counts, duplicates, fuzzy, inflection, vocabulary, votes
+from lexiforge.plans.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -40,7 +41,7 @@ def novel_tokens(rows: DataFrame, vocab: DataFrame, share: float = 0.02, stop_wo
 def candidates(rows: DataFrame, vocab: DataFrame, general: DataFrame, limits: Limits = Limits(), mode: str = "osa") -> DataFrame:
     """(token, n, status, detail): every distinct token with what became of it: kept, vocab, pattern, low_freq, merged or typo."""
     marked = duplicates.mark_duplicates(rows, duplicates.duplicate_ids(rows))
-    freq = counts.document_frequency(marked)
+    freq = cut(counts.document_frequency(marked))
     first = vocabulary.candidates(freq.select("token"), vocab, freq, limits.min_df)
     open_ = first.where("status IN ('kept', 'low_freq')").select("token")
     known = vocab.join(freq.select("token", F.col("frequency_deduped").alias("n")), "token")
@@ -57,10 +58,10 @@ def candidates(rows: DataFrame, vocab: DataFrame, general: DataFrame, limits: Li
 def label(rows: DataFrame, tokens: DataFrame, models: dict[str, classify.Classifier], limits: Limits = Limits()) -> DataFrame:
     """(token, label, vote_type, agreement, a column for each model) of tokens, from their contexts."""
     placed = context.attach_texts(context.quota_pool(context.contexts_of(rows, tokens), limits.contexts), rows, limits.clip)
-    index = context.attach_contexts(tokens.select("token"), context.context_index(context.diverse(placed, limits.shown)))
+    index = cut(context.attach_contexts(tokens.select("token"), context.context_index(context.diverse(placed, limits.shown))))
     labels = None
     for name, model in models.items():
-        own = classify.classify(index, model).withColumn("model", F.lit(name))
+        own = cut(classify.classify(index, model, keep=cut)).withColumn("model", F.lit(name))
         labels = own if labels is None else labels.unionByName(own)
     return votes.majority(labels, list(models))
 
