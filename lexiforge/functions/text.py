@@ -65,27 +65,45 @@ def words(text: Column) -> Column:
     return F.when(squeezed == "", F.array().cast("array<string>")).otherwise(F.split(squeezed, " "))
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with value evaluated once, not wherever the body mentions it (inside lambdas, once for each element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clip_window(text: Column, token: Column, limit: int = 100) -> Column:
     """Texts of more than ``limit`` words: ``limit`` words around the token's first place, which is told in characters of the squeezed text, with dots where words are cut."""
-    own = words(text)
-    squeezed = F.array_join(own, " ")
-    before = F.substring(squeezed, F.lit(1), F.instr(F.lower(squeezed), F.lower(token)) - 1)
-    at = F.length(before) - F.length(F.translate(before, " ", ""))
-    first = F.greatest(F.lit(0), F.least(at - limit // 2, F.size(own) - limit))
-    cut = F.array_join(F.slice(own, first + 1, F.lit(limit)), " ")
-    dotted = F.concat(F.when(first > 0, "... ").otherwise(""), cut, F.when(first + limit < F.size(own), " ...").otherwise(""))
-    return F.when(F.size(own) <= limit, text).otherwise(dotted)
+
+    def clip(own: Column) -> Column:
+        def around(squeezed: Column) -> Column:
+            before = F.substring(squeezed, F.lit(1), F.instr(F.lower(squeezed), F.lower(token)) - 1)
+            at = F.length(before) - F.length(F.translate(before, " ", ""))
+            return bind(F.greatest(F.lit(0), F.least(at - limit // 2, F.size(own) - limit)), cut)
+
+        def cut(first: Column) -> Column:
+            part = F.array_join(F.slice(own, first + 1, F.lit(limit)), " ")
+            return F.concat(F.when(first > 0, "... ").otherwise(""), part, F.when(first + limit < F.size(own), " ...").otherwise(""))
+
+        return F.when(F.size(own) <= limit, text).otherwise(bind(F.array_join(own, " "), around))
+
+    return bind(words(text), clip)
 
 
 def clip_balanced(text: Column, token: Column, limit: int = 110) -> Column:
     """Texts of more than ``limit`` words: around the occurrence with most words on its shorter side; at an edge the first or last ``limit`` words."""
-    own = words(text)
-    n, half = F.size(own), limit // 2 - 1
-    places = F.transform(own, lambda w, i: F.when(F.contains(F.lower(w), F.lower(token)), F.struct(F.least(i, F.size(own) - i - 1).alias("balance"), (-i).alias("minus"))))
-    best = -F.array_max(F.filter(places, lambda x: x.isNotNull()))["minus"]
-    part = lambda a, k: F.array_join(F.slice(own, a, F.lit(k)), " ")
-    clipped = F.when(best.isNull() | (best < half), part(F.lit(1), limit)).when(n - best - 1 < half, part(n - limit + 1, limit)).otherwise(part(best - half + 1, 2 * half + 1))
-    return F.when(n <= limit, text).otherwise(clipped)
+    half = limit // 2 - 1
+
+    def clip(own: Column) -> Column:
+        n = F.size(own)
+        part = lambda a, k: F.array_join(F.slice(own, a, F.lit(k)), " ")
+
+        def cut(best: Column) -> Column:
+            return F.when(best.isNull() | (best < half), part(F.lit(1), limit)).when(n - best - 1 < half, part(n - limit + 1, limit)).otherwise(part(best - half + 1, 2 * half + 1))
+
+        places = F.transform(own, lambda w, i: F.when(F.contains(F.lower(w), F.lower(token)), F.struct(F.least(i, n - i - 1).alias("balance"), (-i).alias("minus"))))
+        best = -F.array_max(F.filter(places, lambda x: x.isNotNull()))["minus"]
+        return F.when(n <= limit, text).otherwise(bind(best, cut))
+
+    return bind(words(text), clip)
 
 
 def richness(text: Column, token: Column) -> Column:

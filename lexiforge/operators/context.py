@@ -24,9 +24,11 @@ def contexts_of(rows: DataFrame, tokens: DataFrame, per_source_cap: int | None =
     return found.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_source_cap).drop("k")
 
 
-def attach_texts(contexts: DataFrame, rows: DataFrame, limit: int = 100) -> DataFrame:
+def attach_texts(contexts: DataFrame, rows: DataFrame, limit: int | None = 100) -> DataFrame:
     """contexts with the clipped text of their row; those whose clip misses the token are left out."""
-    joined = contexts.join(rows.select("id", "source", "text"), ["id", "source"]).withColumn("text", clip_window(F.col("text"), F.col("token"), limit))
+    joined = contexts.join(rows.select("id", "source", "text"), ["id", "source"])
+    if limit is not None:
+        joined = joined.withColumn("text", clip_window(F.col("text"), F.col("token"), limit))
     return joined.where(F.contains(F.lower("text"), F.lower("token"))).select(*contexts.columns, "text")
 
 
@@ -51,7 +53,7 @@ def quota_pool(pool: DataFrame, most: int = MAX_CONTEXTS, least_tokens: int = MI
     return placed.where(F.col("place") <= most).select("token", "id", "source", "tc", "place")
 
 
-def diverse(pool: DataFrame, most: int = 3, qualify: int = 10, limit: int = 110) -> DataFrame:
+def diverse(pool: DataFrame, most: int = 3, qualify: int = 10, limit: int | None = 110) -> DataFrame:
     """(token, id, source, text, place): three contexts from up to three sources, the longest texts first.
 
     pool(token, id, source, text, place). The largest source always qualifies, the next two if they have ``qualify``
@@ -66,9 +68,11 @@ def diverse(pool: DataFrame, most: int = 3, qualify: int = 10, limit: int = 110)
     longest = F.when(F.col("qual"), -F.length("text")).otherwise(0)
     own = own.withColumn("rs", F.row_number().over(source.orderBy(longest, "place")))
     slots = F.when(F.col("nq") == 1, most).when(F.col("nq") == 2, F.when(F.col("sr") == 1, 2).otherwise(1)).otherwise(1)
-    own = own.where(~F.col("qual") | (F.col("rs") <= slots)).withColumn("text", clip_balanced(F.col("text"), F.col("token"), limit))
+    own = own.where(~F.col("qual") | (F.col("rs") <= slots))
+    if limit is not None:
+        own = own.withColumn("text", clip_balanced(F.col("text"), F.col("token"), limit))
     order = [F.desc("qual"), F.col("sr"), F.col("rs")]
-    again = F.row_number().over(W.partitionBy("token", "text").orderBy(*order))
+    again = F.row_number().over(W.partitionBy("token", F.md5("text")).orderBy(*order))
     own = own.withColumn("again", again).where(F.col("qual") | (F.col("again") == 1))
     return own.withColumn("rank", F.row_number().over(token.orderBy(*order))).where(F.col("rank") <= most).select("token", "id", "source", "text", F.col("rank").alias("place"))
 

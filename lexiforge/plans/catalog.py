@@ -382,8 +382,8 @@ def _diverse_sql(qualify: int) -> str:
 
 
 def _diverse(spark, d, qualify):
-    placed = context.attach_texts(context.quota_pool(_pool(spark, d)), C.corpus(spark, d), limit=1 << 30)
-    return context.diverse(placed, qualify=qualify, limit=1 << 30).drop("text")
+    placed = context.attach_texts(context.quota_pool(_pool(spark, d)), C.corpus(spark, d), limit=None)
+    return context.diverse(placed, qualify=qualify, limit=None).drop("text")
 
 
 @query(_diverse_sql(10))
