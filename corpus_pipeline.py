@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import bounded, bucket_of, save, table
+from lexiforge.llm.common import bounded, bucket_of, save, small_batches, table
 from lexiforge.llm.decontaminate import contaminated
 from lexiforge.llm.language import identified, learn
 from lexiforge.llm.linededup import dedup_lines
@@ -20,6 +20,7 @@ from lexiforge.llm.packing import pack
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language that can be told go."""
+    small_batches(spark)
     return identified(docs, learn(docs.where(bucket_of("doc_id", 5) != 0)))
 
 
@@ -32,12 +33,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the smallest id."""
+    small_batches(spark)
     gone, _ = save(near_duplicates(docs, shingle_words=5, percent=80).where("not kept").select("doc_id").distinct(), "near-duplicates")
     return docs.join(bounded(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    small_batches(spark)
     gone, _ = save(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
     return docs.join(bounded(gone), "doc_id", "left_anti").select(*docs.columns)
 
@@ -45,6 +48,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
+    small_batches(spark)
     return pack(docs, str(path("byte_bpe_50k.json")))
 
 
