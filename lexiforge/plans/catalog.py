@@ -362,16 +362,37 @@ def _pool(spark, d):
     return context.contexts_of(C.corpus(spark, d), _cand(spark, d))
 
 
+# The SQL above holds the band of 12 to 40 documents; the _all queries take every token from 12 documents on and have no SQL.
+
+
+def _cand_all(spark, d):
+    return C.frequencies(spark, d).where("frequency_deduped >= 12").select("token")
+
+
+def _pool_all(spark, d):
+    return context.contexts_of(C.corpus(spark, d), _cand_all(spark, d))
+
+
 @query(f"{_ALL}, {_POOL} SELECT token, id, source, tc FROM pool")
 def context_pool(spark, d):
     return _pool(spark, d)
 
 
+@query(None)
+def context_pool_all(spark, d):
+    return _pool_all(spark, d)
+
+
 @query(f"{_ALL}, {_POOL}, {_QUOTA} SELECT token, id, source, tc, CAST(place AS INT) AS place FROM placed WHERE place <= 10")
 def context_quota(spark, d):
     return context.quota_pool(_pool(spark, d))
 
 
+@query(None)
+def context_quota_all(spark, d):
+    return context.quota_pool(_pool_all(spark, d))
+
+
 def _diverse_sql(qualify: int) -> str:
     return f"""{_ALL}, {_POOL}, {_QUOTA}, c1 AS (SELECT *, row_number() OVER (PARTITION BY token, md5(text) ORDER BY place) AS d1 FROM placed WHERE place <= 10),
     c2 AS (SELECT *, count(*) OVER (PARTITION BY token, source) AS n, min(place) OVER (PARTITION BY token, source) AS f FROM c1 WHERE d1 = 1),
@@ -381,8 +402,8 @@ def _diverse_sql(qualify: int) -> str:
     c7 AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY qual DESC, sr, rs) AS k FROM c6) SELECT token, id, source, CAST(k AS INT) AS place FROM c7 WHERE k <= 3"""
 
 
-def _diverse(spark, d, qualify):
-    placed = context.attach_texts(context.quota_pool(_pool(spark, d)), C.corpus(spark, d), limit=None)
+def _diverse(spark, d, qualify, pool=_pool):
+    placed = context.attach_texts(context.quota_pool(pool(spark, d)), C.corpus(spark, d), limit=None)
     return context.diverse(placed, qualify=qualify, limit=None).drop("text")
 
 
@@ -391,17 +412,32 @@ def context_diverse3(spark, d):
     return _diverse(spark, d, 10)
 
 
+@query(None)
+def context_diverse3_all(spark, d):
+    return _diverse(spark, d, 10, _pool_all)
+
+
 @query(_diverse_sql(2))
 def context_diverse3_many_sources(spark, d):
     return _diverse(spark, d, 2)
 
 
+@query(None)
+def context_diverse3_many_sources_all(spark, d):
+    return _diverse(spark, d, 2, _pool_all)
+
+
 @query(f"{_ALL}, {_POOL}, {_QUOTA}, p AS (SELECT token, count(*) AS n FROM placed WHERE place <= 10 GROUP BY token) SELECT count(n) AS with_contexts, count(*) FILTER (WHERE n IS NULL) AS without, CAST(coalesce(sum(n), 0) AS BIGINT) AS contexts FROM (SELECT DISTINCT token FROM freq WHERE frequency_deduped >= 12) t LEFT JOIN p USING (token)")
 def context_totals(spark, d):
     tokens = C.frequencies(spark, d).where("frequency_deduped >= 12").select("token")
     return context.context_totals(tokens, context.quota_pool(_pool(spark, d)))
 
 
+@query(None)
+def context_totals_all(spark, d):
+    return context.context_totals(_cand_all(spark, d), context.quota_pool(_pool_all(spark, d)))
+
+
 # Languages
 
 _NAMES = {"en": "english", "fr": "french", "de": "german", "es": "klingon"}

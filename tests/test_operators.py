@@ -14,7 +14,7 @@ from lexiforge.functions.labels import single_label
 from lexiforge.functions.rules import reject_reason
 from lexiforge.operators import classify, context, counts, duplicates, fuzzy, inflection, language, votes
 from lexiforge.operators import vocabulary as V
-from lexiforge.plans import novelty
+from lexiforge.plans import catalog, novelty
 from lexiforge.plans.lineage import cut
 from lexiforge.sources import readers, sinks
 from lexiforge.streaming import incremental
@@ -104,6 +104,17 @@ def test_context_quota(spark):
     assert got == {"a": 10, "b": 6, "c": 1}
 
 
+def test_contexts_of_frequent_and_short_tokens(spark, tmp_path):
+    """50 documents hold a short token and a long one, above the band that has SQL."""
+    rows = [(i, f"abc frequent only{'x' * (i % 26)} {'word ' * 15}{i}", f"s{i % 2}") for i in range(50)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    get = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r["token"] for r in get("context_pool_all")} == {"abc", "frequent", "word"} and len(get("context_pool_all")) == 150
+    assert len(get("context_quota_all")) == 30
+    assert len(get("context_diverse3_all")) == len(get("context_diverse3_many_sources_all")) == 9
+    assert [tuple(r) for r in get("context_totals_all")] == [(3, 0, 30)]
+
+
 def test_partitions_do_not_matter_and_nothing_is_lost(spark):
     rows = spark.createDataFrame([(f"{i}", "u", "2010", f"s{i % 3}", f"alpha beta word{i % 7} word{i % 5}") for i in range(60)], "id string, author string, date string, source string, text string").withColumn("tokens", X.tokens(F.col("text"), pattern="[a-z0-9]+"))
     results = []
