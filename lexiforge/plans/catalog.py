@@ -296,14 +296,25 @@ def _dictionary(spark, d):
     return freq.where("frequency_deduped BETWEEN 3 AND 39").select("token"), terms
 
 
+def _dictionary_all(spark, d):
+    """Every token below the dictionary's threshold, those found only in duplicates too; the SQL takes 3 to 39 documents."""
+    freq = C.frequencies(spark, d)
+    return freq.where("frequency_deduped < 40").select("token"), _dictionary(spark, d)[1]
+
+
 @query(f"{_ALL}, {_TERMS}, {_NEAR} SELECT * FROM typo")
 def typo_levenshtein(spark, d):
     return fuzzy.typos(*_dictionary(spark, d), mode="levenshtein", min_count=50)
 
 
+@query(None)
+def typo_levenshtein_all(spark, d):
+    return fuzzy.typos(*_dictionary_all(spark, d), mode="levenshtein", min_count=50)
+
+
 @query(None)
 def typo_osa(spark, d):
-    return fuzzy.typos(*_dictionary(spark, d), mode="osa", min_count=50)
+    return fuzzy.typos(*_dictionary_all(spark, d), mode="osa", min_count=50)
 
 
 @query(f"{_ALL}, terms AS (SELECT token AS term, frequency_deduped AS count FROM freq WHERE frequency_deduped >= 30), cand AS (SELECT token FROM freq WHERE frequency_deduped BETWEEN 10 AND 29), {_NEAR} SELECT * FROM typo")

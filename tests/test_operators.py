@@ -62,6 +62,15 @@ def test_typos_by_length_and_count(spark):
     assert got == {"helol": ("hello", 1), "exapmel": ("example", 2)}
 
 
+def test_typos_of_rare_tokens(spark, tmp_path):
+    """One document holds a typo, a document and its exact copy another; the right word is in 60."""
+    rows = [(i, f"example {i}", "s") for i in range(60)] + [(60, "exapmle once", "s"), (61, "exampel twice here", "s"), (62, "exampel twice here", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name, distance in (("typo_osa", 1), ("typo_levenshtein_all", 2)):
+        got = {(r["token"], r["correction"], r["distance"]) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == {("exapmle", "example", distance), ("exampel", "example", distance)}
+
+
 def test_segment(spark):
     terms = spark.createDataFrame([("sun", 50), ("flower", 40), ("pot", 30)], "term string, count long")
     tokens = spark.createDataFrame([("sunflowerpot",), ("sunxflower",), ("pots",)], "token string")
