@@ -5,7 +5,9 @@ headers, footers, sidebars, forms, adverts, notices and reader comments, known b
 class or id words. The text lengths of the lines are summed over sliding windows of lines. Where the sums surge
 above the threshold the main text begins, and it ends where they dive to nothing; the surge with most text
 wins. A line between the points stays however short it is, and so do the lines that share its container, an
-article, a main part or a division, so that a short first or last paragraph isn't lost.
+article, a main part or a division, so that a short first or last paragraph isn't lost. That container is the
+article or main part that holds most of the winning text. Without one it is the innermost container, widened as
+long as there is more long text beside it; to the whole page only if it is one paragraph or not most of the text.
 
 Null or empty html, or a page without text: an empty text. Pages are handled one by one, so repeated rows get
 equal results. Only ``page_id``, ``url`` and ``html`` are read, so further columns cannot clash.
@@ -33,6 +35,7 @@ _BOILERPLATE = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "but
 _VOID = {"br", "hr", "img", "input", "meta", "link", "base", "col", "embed", "source", "track", "wbr", "area", "param"}
 _BLOCKS = {"p", "div", "article", "main", "section", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "blockquote", "pre", "address", "header", "hgroup", "figcaption", "details", "summary", "fieldset", "center", "body", "html"} | _BOILERPLATE
 _CONTAINERS = {"article", "main", "section", "div", "body", "html", "td", "blockquote"}
+_ARTICLES, _PAGE = {"article", "main"}, {"body", "html"}
 _CLOSES_P = _BLOCKS - {"html", "body"}
 _BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
 _BAD_WORDS = set("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion promotions nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer foot masthead topbar toolbar comment comments disqus respond reply replies cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget pagination pager copyright legal".split())
@@ -58,8 +61,8 @@ def _is_bad(tag: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, tuple[int, ...]]]:
-    """(text, numbers of the containers around it, outermost first), a row per block of text outside boilerplate."""
+def lines_of(html: str) -> list[tuple[str, tuple[tuple[int, str], ...]]]:
+    """(text, numbers and tags of the containers around it, outermost first), a row per block of text outside boilerplate."""
     lower, lines, buffer = None, [], []
     stack: list[tuple[str, int, bool]] = []  # tag, number of a container or 0, boilerplate
     bad = number = position = article = 0
@@ -69,7 +72,7 @@ def lines_of(html: str) -> list[tuple[str, tuple[int, ...]]]:
             text = _SPACE.sub(" ", entities.unescape("".join(buffer))).strip()
             buffer.clear()
             if text and not bad:
-                lines.append((text, tuple(n for _, n, _ in stack if n)))
+                lines.append((text, tuple((n, t) for t, n, _ in stack if n)))
 
     def pop() -> None:
         nonlocal bad, article
@@ -145,27 +148,61 @@ def surges(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list
     return found + ([(start, len(sums))] if start is not None else [])
 
 
+def _article(around: tuple[tuple[int, str], ...]) -> tuple[int, str] | None:
+    """The innermost article or main part of a line."""
+    return next((c for c in reversed(around) if c[1] in _ARTICLES), None)
+
+
+def _home(lines: list[tuple[str, tuple[tuple[int, str], ...]]], picked: list[int], surge: int) -> set[int]:
+    """Lines that belong with the picked ones."""
+    inside: dict[tuple[int, str], list[int]] = {}
+    for i, (_, around) in enumerate(lines):
+        for c in around:
+            inside.setdefault(c, []).append(i)
+    size = lambda rows: sum(len(lines[i][0]) for i in rows)
+    chosen = set(picked)
+    held = {c: size(chosen & set(inside[c])) for i in picked for c in lines[i][1] if c[1] in _ARTICLES}
+    most = [c for c, n in held.items() if 2 * n > size(picked)]
+    if most:
+        return set(inside[max(most)])  # numbers grow inwards
+    weight: dict[tuple[int, str], int] = {}
+    for i in picked:
+        for c in lines[i][1][-1:]:
+            weight[c] = weight.get(c, 0) + len(lines[i][0])
+    if not weight:
+        return set()
+    home = max(weight, key=lambda c: (weight[c], -c[0]))
+    around = lines[inside[home][0]][1]
+    path = list(around[: around.index(home)])
+    long = {i for i, (text, _) in enumerate(lines) if len(text) > surge}
+    for parent in reversed(path if home[1] not in _PAGE else []):
+        if parent[1] in _PAGE:
+            break
+        if len(inside[home]) == 1 or long & set(inside[parent]) - set(inside[home]):
+            home = parent
+    own = set(inside[home])
+    if home[1] not in _PAGE and long - own and (len(own) == 1 or 2 * size(long & own) <= size(long)):
+        return own | set(range(min(long), max(long) + 1))
+    return own
+
+
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     lines = lines_of(html or "")
     if not lines:
         return ""
-    # A change of the outer container is an empty line: the sums can dive there.
+    # A change of the outer container is an empty line, but not within an article: the sums can dive there.
     spread: list[int | None] = []
     for i, (_, around) in enumerate(lines):
-        if i and around[-1:] != lines[i - 1][1][-1:] and not set(around[-1:]) & set(lines[i - 1][1]) and not set(lines[i - 1][1][-1:]) & set(around):
+        before = lines[i - 1][1] if i else ()
+        same = _article(around) is not None and _article(around) == _article(before)
+        if i and not same and around[-1:] != before[-1:] and not set(around[-1:]) & set(before) and not set(before[-1:]) & set(around):
             spread += [None] * window
         spread.append(i)
     lengths = [0 if i is None else len(lines[i][0]) for i in spread]
     found = surges(lengths, window, surge) or [(0, len(spread))]
     a, b = max(found, key=lambda r: (sum(lengths[r[0] : r[1]]), -r[0]))
     picked = [i for i in spread[a:b] if i is not None]
-    weight: dict[int, int] = {}
-    for i in picked:
-        for n in lines[i][1][-1:]:
-            weight[n] = weight.get(n, 0) + len(lines[i][0])
-    home = max(weight, key=lambda n: (weight[n], -n)) if weight else None
-    kept = set(picked) | {i for i, (_, around) in enumerate(lines) if home in around}
-    return "\n\n".join(lines[i][0] for i in sorted(kept))
+    return "\n\n".join(lines[i][0] for i in sorted(_home(lines, picked, surge) | set(picked)))
 
 
 def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:

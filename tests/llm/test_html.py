@@ -22,6 +22,36 @@ def test_without_semantic_elements():
     assert main_text(page).split("\n\n") == [WORDS.strip(), "Tiny", WORDS.strip()]
 
 
+A, B, C, TINY = "alpha " * 30, "beta " * 20, "gamma " * 15, "The end."
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<article><section><p>{A}</section><section><p>{B}</section><section>{C}</section><div>{TINY}</div></article>",
+        f"<main><div><div><p>{A}</div></div><section>{B}</section><div><p>{C}</div><p>{TINY}</main>",
+        f"<div class=post><div>{A}</div><div>{B}</div><div>{C}</div><div>{TINY}</div></div>",
+        f"<div class=post><section><p>{A}<p>{B}</section><section><p>{C}<p>{TINY}</section></div>",
+        f"<div class=wrap><div class=post><div><div>{A}</div></div><div>{B}</div><div>{C}</div><div>{TINY}</div></div></div>",
+        f"<article><table><tr><td>{A}<td>{B}</tr><tr><td>{C}<td>{TINY}</table></article>",
+        f"<div><table><tr><td>{A}</td><td>{B}</td></tr><tr><td>{C}</td><td>{TINY}</td></tr></table></div>",
+    ],
+)
+def test_article_of_sibling_blocks(body):
+    page = f"<body><nav>Home</nav><div><a>One</a></div>{body}<div>x</div></body>"
+    assert main_text(page).split("\n\n") == [A.strip(), B.strip(), C.strip(), TINY]
+
+
+def test_paragraph_divisions_of_the_page():
+    page = f"<body><div><a>One</a></div><div>{A}</div><div>{TINY}</div><div>{B}</div><div>x</div></body>"
+    assert main_text(page).split("\n\n") == [A.strip(), TINY, B.strip()]
+
+
+def test_articles_stay_apart():
+    page = f"<body><main><article><section>{A}</section><section>{B}</section></article><article>{C}</article></main></body>"
+    assert main_text(page).split("\n\n") == [A.strip(), B.strip()]
+
+
 @pytest.mark.parametrize("page", [None, "", "<p>", "<!-- x", "<script>x", "<nav>Home</nav>", "   \n"])
 def test_empty(page):
     assert main_text(page) == ""
