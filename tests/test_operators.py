@@ -77,6 +77,14 @@ def test_segment(spark):
     assert [tuple(r) for r in fuzzy.segment(tokens, terms, terms.select(F.col("term").alias("token"))).collect()] == [("sunflowerpot", "sun flower pot")]
 
 
+def test_segment_by_a_large_dictionary(spark):
+    """The words are the rarest of more than 500 000 terms."""
+    terms = spark.range(500_010).select(F.concat(F.lit("q"), F.col("id").cast("string")).alias("term"), F.lit(9).cast("long").alias("count"))
+    rare = spark.createDataFrame([("sun", 1), ("flower", 1)], "term string, count long")
+    tokens = spark.createDataFrame([("sunflower",)], "token string")
+    assert [tuple(r) for r in fuzzy.segment(tokens, terms.union(rare), rare.select(F.col("term").alias("token"))).collect()] == [("sunflower", "sun flower")]
+
+
 def test_labels(spark):
     cases = {"a:NEOLOGISM": "NEOLOGISM", "x:y:entity": "ENTITY", "it is foreign": "FOREIGN", "NEOLOGISM or ENTITY": "ENTITY", "?": "UNKNOWN", "": "UNKNOWN"}
     for text, label in cases.items():
