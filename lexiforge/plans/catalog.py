@@ -342,7 +342,7 @@ def segment_two_way(spark, d):
 def segment_words(spark, d):
     freq = C.frequencies(spark, d)
     common = freq.where("frequency_deduped >= 10")
-    return fuzzy.segment(freq.select("token"), common.select(F.col("token").alias("term"), F.col("frequency_deduped").alias("count")), common.select("token"))
+    return fuzzy.segment(freq.select("token"), common.select(F.col("token").alias("term"), F.col("frequency_deduped").alias("count")), common.select("token"), edits=fuzzy.MAX_DISTANCE)
 
 
 @query(f"""{_ALL}, {_TERMS}, {_NEAR}, {_SPLIT}, x AS (SELECT token, 'typo' AS reason, correction AS detail FROM typo UNION ALL SELECT token, 'merged', segmented FROM merged WHERE token NOT IN (SELECT token FROM typo))

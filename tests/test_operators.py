@@ -77,6 +77,13 @@ def test_segment(spark):
     assert [tuple(r) for r in fuzzy.segment(tokens, terms, terms.select(F.col("term").alias("token"))).collect()] == [("sunflowerpot", "sun flower pot")]
 
 
+def test_segment_with_misspelt_parts(spark):
+    terms = spark.createDataFrame([("sun", 50), ("flower", 40), ("garden", 30)], "term string, count long")
+    tokens = spark.createDataFrame([("sunflowergarden",), ("sunflowrgarden",), ("sunxflower",), ("flwoergardne",), ("garden",), ("qqqqqqqqqqqq",)], "token string")
+    got = {tuple(r) for r in fuzzy.segment(tokens, terms, terms.select(F.col("term").alias("token")), edits=2).collect()}
+    assert got == {("sunflowergarden", "sun flower garden"), ("sunflowrgarden", "sun flower garden"), ("sunxflower", "sun flower"), ("flwoergardne", "flower garden")}
+
+
 def test_segment_by_a_large_dictionary(spark):
     """The words are the rarest of more than 500 000 terms."""
     terms = spark.range(500_010).select(F.concat(F.lit("q"), F.col("id").cast("string")).alias("term"), F.lit(9).cast("long").alias("count"))
