@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import bucket_of, table
+from lexiforge.llm.common import bounded, bucket_of, table
 from lexiforge.llm.words import mix
 
 SAMPLE_PER_LANGUAGE = 800
@@ -95,7 +95,7 @@ def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) ->
     """About ``per_language`` texts of each language, chosen by a hash of the id and in an order that mixes languages."""
     counts = docs.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
-    picked = docs.join(F.broadcast(counts.orderBy(F.desc("n"), "lang").limit(1000)), "lang").where(draw < F.least(F.lit(1.0), per_language / F.col("n")))
+    picked = docs.join(bounded(counts), "lang").where(draw < F.least(F.lit(1.0), per_language / F.col("n")))
     rows = picked.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["h"], r["text"]))]
 

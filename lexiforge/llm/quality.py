@@ -28,7 +28,6 @@ from lexiforge.llm.common import table
 COMMON_WORDS = 40
 MAX_CHAR_DISTANCE, MIN_CHARS = 0.25, 200
 MAX_WORD_DISTANCE, MIN_WORDS = 0.25, 50
-MAX_LANGUAGES = 256
 SPACES = (9, 10, 11, 12, 13, 32)
 SYMBOLS = b"#*$%&|<>"
 STRIP = b".,;:!?()[]\"'"
@@ -138,8 +137,6 @@ def references(docs: DataFrame, common: int = COMMON_WORDS) -> dict[str, tuple[n
             chars[int(bytes(r["word"])[1:])] = r["n"]
         elif r["rank"] <= common:
             words[bytes(r["word"])] = r["n"]
-    most = sorted(found, key=lambda k: (-found[k][0][-1], k))[:MAX_LANGUAGES]
-    found = {k: found[k] for k in most}
     sums = {k: int(c[-1]) for k, (c, _) in found.items()}
     return {k: (c[:-1], w | {b"": sums[k] - sum(w.values())}) for k, (c, w) in found.items()}
 

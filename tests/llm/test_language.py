@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from lexiforge.llm.language import document_frequency, fit, learn, ngrams, op3_language_id, predict
+from lexiforge.llm.language import document_frequency, fit, learn, ngrams, op3_language_id, predict, training_sample
 
 
 def corpus(n, seed):
@@ -48,3 +48,9 @@ def test_nothing_to_learn_from(spark):
 def test_query(spark):
     got = op3_language_id(spark, "/root/testdata/sf0.001").where("held_out").join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "doc_id").collect()
     assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.95 * len(got)
+
+
+def test_every_language_is_in_the_sample(spark):
+    rows = [(i, "text", f"l{i % 1100}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {lang for _, lang in training_sample(docs)} == {f"l{i}" for i in range(1100)}

@@ -57,3 +57,8 @@ def test_references_are_whole_counts(spark):
     refs = references(docs, common=1)
     assert refs["en"][1] == {b"the": 3, b"": 2} and refs["de"][1] == {b"der": 1, b"": 0}
     assert refs["en"][0][0] == 10 and refs["en"][0][1] == 1
+
+
+def test_every_language_is_a_reference(spark):
+    docs = spark.createDataFrame([(i, f"own{i} word", f"l{i}") for i in range(300)], "doc_id long, text string, lang string")
+    assert set(references(docs)) == {f"l{i}" for i in range(300)}
