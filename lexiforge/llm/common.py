@@ -68,6 +68,38 @@ def parts_for(spark: SparkSession, size: int, each: int) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-size // each))
 
 
-def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """df with a broadcast hint if it has no more than ``rows`` (narrow) rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.count() <= rows else df
+def bounded(df: DataFrame, rows: int = 1_000_000, weight: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if it has no more than ``rows`` (narrow) rows; else as it is, for a shuffled join.
+
+    weight: entries of an array that a row carries, which count instead of the row.
+    """
+    if weight is None:
+        return F.broadcast(df) if df.count() <= rows else df
+    n = df.agg(F.sum(F.greatest(weight, F.lit(1)).cast("long")).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if n <= rows else df
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, none of which df has in any spelling."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_by_key(rows: DataFrame, keyed: DataFrame, key: list[str], broadcast_rows: int = 1_000_000, hot_keys: int = 20_000) -> DataFrame:
+    """Inner join of rows with keyed, a table of one row a key with ``n``, how many of rows have it; both are stored tables.
+
+    A small keyed is broadcast. Else keys with over 1 / hot_keys of all rows, which are fewer than hot_keys, are
+    broadcast and their rows stay where they are; the rest, of which no key is hot, meet by a shuffle.
+    """
+    size = keyed.agg(F.count("*").alias("keys"), F.sum("n").alias("rows")).first()
+    if size["keys"] <= broadcast_rows:
+        return rows.join(F.broadcast(keyed), key)
+    most = size["rows"] // hot_keys
+    hot, rest = F.broadcast(keyed.where(F.col("n") > most)), keyed.where(F.col("n") <= most)
+    cold = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(rest.hint("merge"), key)
+    return rows.join(hot, key).unionByName(cold)
