@@ -2,7 +2,8 @@
 
 A chunk is what lies between two single spaces. The pre-tokeniser's pattern never matches across the
 boundary before a space that is followed by a non-space, so chunks are encoded apart and their ids are
-kept in a bounded cache; most words of a corpus are repeats.
+kept in a bounded cache; most words of a corpus are repeats. Added tokens, like an end-of-text mark, are taken
+out of the text first, the longest where several begin, and have their own id; what is between is encoded apart.
 """
 
 from __future__ import annotations
@@ -58,11 +59,21 @@ class ByteBpe:
             from tokenizers import Tokenizer
 
             own = Tokenizer.from_file(path)
-            own.encode_special_tokens = True
             encode = lambda text: own.encode(text, add_special_tokens=False).ids
         self.first, self.rest = _Chunks(encode, "", limit // 10), _Chunks(encode, " ", limit)
+        added = spec.get("added_tokens") or []
+        strange = [t["content"] for t in added if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized")]
+        if strange:
+            raise ValueError(f"added tokens that take in their surroundings are not known here: {strange}")
+        self.added = {t["content"]: np.array([t["id"]], dtype="<u4") for t in added}
+        self.mark = re.compile("(" + "|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True)) + ")") if added else None
 
     def encode(self, text: str) -> np.ndarray:
+        if self.mark is not None and self.mark.search(text):
+            return np.concatenate([self.added[x] if i % 2 else self._plain(x) for i, x in enumerate(self.mark.split(text))])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, dtype="<u4")
         if _SPACE_RUN.search(text):

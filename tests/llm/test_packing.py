@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from public_tokenizers import path
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexiforge.llm.packing import cut, minimum_bin_slack, pack
@@ -20,6 +21,25 @@ def test_ids_equal_the_library():
         assert own.encode(text).tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_ids_of_added_tokens_equal_the_library():
+    own, lib, mark = ByteBpe(TOKENIZER), Tokenizer.from_file(TOKENIZER), "<|endoftext|>"
+    assert own.encode(mark).tolist() == [50256]
+    rnd = random.Random(2)
+    parts = [mark, mark, mark[:-1], mark[1:], "<|", "|>", " ", "  ", "\n", "a", "one two", " x", "é", "'s"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(1, 9))) for _ in range(10_000)]
+    assert sum(mark in t for t in texts) > 3000
+    for text in texts:
+        assert own.encode(text).tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_a_very_long_text_is_cut_and_none_of_it_lost(spark):
+    text = "word " * 300_000
+    got = pack(spark.createDataFrame([(1, text), (2, text), (2, text), (3, None)], "doc_id long, text string"), TOKENIZER)
+    sums = {r["doc_id"]: (r["n"], r["rows"]) for r in got.groupBy("doc_id").agg(F.sum("length").alias("n"), F.count("*").alias("rows")).collect()}
+    n = len(Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids) + 1
+    assert sums == {1: (n, -(-n // 2048)), 2: (2 * n, 2 * -(-n // 2048)), 3: (1, 1)}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_every_piece_once_and_close_to_the_bound(seed):
     rnd = random.Random(seed)
