@@ -3,6 +3,7 @@ import re
 import duckdb
 import pytest
 
+from lexiforge.llm import html as module
 from lexiforge.llm.html import extract, main_text, op7_html_extraction, surges
 
 WORDS = "word " * 30
@@ -63,6 +64,51 @@ def test_odd_markup_does_not_fail():
     assert main_text("<p title='>'>x</p>") == "x"
 
 
+@pytest.mark.parametrize("name", ["legal", "notice", "related", "share-list", "copyright", "with-sidebar", "has-comments", "no-footer"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_misleading_names(name, tag):
+    if tag == "div" and set(name.split("-")) & module._BAD_WORDS:
+        pytest.skip("only an article tells that such a name misleads")
+    page = f"<body><div><a>One</a></div><div class={name}><{tag}><p>{A}</p><p>{TINY}</p><p>{B}</p></{tag}></div><div class={name}>{TINY} Again.</div></body>"
+    assert main_text(page).split("\n\n") == [A.strip(), TINY, B.strip()]
+
+
+def test_long_comments_and_sidebars_with_articles_go():
+    page = f"<body><article><p>{B}<p>{TINY}</article><div id=comments><article><p>{A}{A}{A}</article></div><aside><article>{A}{B}</article></aside></body>"
+    assert main_text(page).split("\n\n") == [B.strip(), TINY]
+
+
+def test_an_advert_inside_an_article_goes_and_what_follows_stays():
+    page = f"<body><article><p>{A}</p><div class=ad><p>{B}</div><p>{C}<ul><li><a href=x>one</a><li><a href=y>two</a><li><a>three</a></ul><p>{TINY}</article></body>"
+    assert main_text(page).split("\n\n") == [A.strip(), C.strip(), "one", "two", "three", TINY]
+
+
+def test_link_lists_do_not_surge():
+    links = "".join(f"<li><a href=x{i}>A rather long headline number {i} of another page of this site</a>" for i in range(40))
+    page = f"<body><div><ul>{links}</ul></div><div><p>{A}<p>{TINY}</div><div><ul>{links}</ul></div></body>"
+    assert main_text(page).split("\n\n") == [A.strip(), TINY]
+
+
+def test_surges_and_dives_decide(monkeypatch):
+    """Everything as one text, without surge and dive: pages with articles and without them come out wrong."""
+    plain = f"<body><div><a>One</a></div><div><p>{A}</p><p>{TINY}</p></div><div>x</div></body>"
+    pages = [html for (html,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.001/pages.parquet' LIMIT 20").fetchall()]
+    right = [main_text(p) for p in (plain, *pages)]
+    monkeypatch.setattr(module, "surges", lambda lengths, window, surge: [(0, len(lengths))])
+    assert all(main_text(p) != text for p, text in zip((plain, *pages), right, strict=True))
+
+
+def test_a_very_long_page():
+    body = "".join(f"<p>{A}{i}</p>" for i in range(20_000))
+    assert main_text(f"<body><nav>Home</nav><article>{body}</article></body>").count("\n\n") == 19_999
+    assert len(main_text(f"<div>{'word ' * 500_000}</div>")) == 2_499_999
+
+
+def test_ties_take_the_first_text():
+    page = f"<body><main><article>{A}</article><article>{'omega ' * 30}</article></main></body>"
+    assert main_text(page) == A.strip()
+
+
 def test_surges():
     assert surges([0, 0, 100, 0, 0, 0, 0, 50, 80, 0], window=2, surge=60) == [(1, 3), (7, 9)]
 
