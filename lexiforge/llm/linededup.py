@@ -44,9 +44,12 @@ def lines_of(docs: DataFrame) -> DataFrame:
     # The hash is taken below the explosion, once for each text.
     whole = docs.select(_id().alias("did"), _hash().alias("th"), F.split(F.col("text").cast("string"), "\n").alias("lines"))
     rows = whole.select("did", "th", F.posexplode("lines").alias("line", "own"))
-    own = F.btrim("own", F.lit(_EDGES))
-    rows = rows.select("did", "th", "line", F.xxhash64(own).alias("h"), F.regexp_count("own", F.lit(_WORD)).cast("long").alias("words"))
-    return rows.where("words > 0").dropDuplicates(["did", "th", "line"])
+    rows = rows.select("did", "th", "line", F.btrim("own", F.lit(_EDGES)).alias("own")).where("own <> ''")
+    # Most lines have single spaces only, and one word more than spaces.
+    single = F.octet_length("own") - F.octet_length(F.replace("own", F.lit(" "), F.lit(""))) + 1
+    words = F.when(F.col("own").rlike(r"\x20\x20|[\x09-\x0D]"), F.regexp_count("own", F.lit(_WORD))).otherwise(single)
+    rows = rows.select("did", "th", "line", F.xxhash64("own").alias("h"), words.cast("long").alias("words"))
+    return rows.dropDuplicates(["did", "th", "line"])
 
 
 def runs_of(lines: DataFrame, gram: int, window: int) -> DataFrame:
@@ -69,23 +72,27 @@ def runs_of(lines: DataFrame, gram: int, window: int) -> DataFrame:
     return both.select("did", "th", F.explode(own).alias("o")).where("o is not null").select("did", "th", "o.l1", "o.l2", "o.w1", "o.w2", "o.x.g", "o.x.gw", "o.r")
 
 
-def repeated_lines(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_WORDS) -> tuple[DataFrame, list[str]]:
-    """did, th, ranges (first and last line of each run to delete, in order, apart), words (that these have), and the tables that it reads."""
-    runs, runs_path = save(runs_of(lines_of(docs), gram, window), "runs")
-    place = F.xxhash64("did", "th", "gw")
-    shared = runs.groupBy("g").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("n")).where("lo < hi").select("g", "n")
-    shared, shared_path = save(shared, "fingerprints")
-    met, met_path = save(join_by_key(runs, shared, ["g"]).drop("n", "gw"), "met")
-    first = met.groupBy("g", "r").agg(F.min(F.struct("did", "th", "w1")).alias("s"), F.count("*").alias("n")).where("n > 1")
-    first, first_path = save(first, "first")
-    later = join_by_key(met, first, ["g", "r"]).where(F.struct("did", "th", "w1") > F.col("s"))
+def repeated_lines(runs: DataFrame, shared: DataFrame, first: DataFrame) -> DataFrame:
+    """did, th, ranges (first and last line of each run to delete, in order, apart), words (that these have)."""
+    later = join_by_key(join_by_key(runs, shared, ["g"]).drop("n"), first, ["g", "r"]).where(F.struct("did", "th", "w1") > F.col("s"))
     before = W.partitionBy("did", "th").orderBy("w1", "w2")
     reach = F.max("w2").over(before.rowsBetween(W.unboundedPreceding, -1))
     apart = later.select("did", "th", "l1", "l2", "w1", "w2", F.coalesce((F.col("w1") > reach).cast("int"), F.lit(1)).alias("fresh"))
     islands = apart.withColumn("island", F.sum("fresh").over(before)).groupBy("did", "th", "island")
     merged = islands.agg(F.min("l1").alias("l1"), F.max("l2").alias("l2"), (F.max("w2") - F.min("w1")).alias("words"))
-    ranges = merged.groupBy("did", "th").agg(F.sort_array(F.collect_list(F.struct("l1", "l2"))).alias("ranges"), F.sum("words").alias("words"))
-    return ranges, [runs_path, shared_path, met_path, first_path]
+    return merged.groupBy("did", "th").agg(F.sort_array(F.collect_list(F.struct("l1", "l2"))).alias("ranges"), F.sum("words").alias("words"))
+
+
+def shared_fingerprints(runs: DataFrame) -> DataFrame:
+    """g, n (runs that have it): fingerprints that stand at more than one place."""
+    place = F.xxhash64("did", "th", "gw")
+    return runs.groupBy("g").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("n")).where("lo < hi").select("g", "n")
+
+
+def first_runs(runs: DataFrame, shared: DataFrame) -> DataFrame:
+    """g, r, s (did, th, w1 of the first place), n: runs with a shared fingerprint that stand more than once."""
+    met = join_by_key(runs, shared, ["g"]).drop("n")
+    return met.groupBy("g", "r").agg(F.min(F.struct("did", "th", "w1")).alias("s"), F.count("*").alias("n")).where("n > 1")
 
 
 def _without(lines: Column, ranges: Column) -> Column:
@@ -99,9 +106,13 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_WO
     """All rows and columns of docs with ``text`` replaced, and ``removed_lines`` array<int>, ``removed_words`` long."""
     spark = docs.sparkSession
     did, th, ranges, words, lines = fresh_names(docs, "did", "th", "ranges", "words", "lines")
-    repeated, read = repeated_lines(docs, gram, window)
-    gone, _ = save(repeated, "repeated")
-    drop(spark, *read)
+    runs, path = save(runs_of(lines_of(docs), gram, window), "runs")
+    shared = shared_fingerprints(runs).persist()  # narrow; what a lost executor held is made again from runs
+    first = first_runs(runs, shared).persist()
+    gone, _ = save(repeated_lines(runs, shared, first), "repeated")
+    first.unpersist()
+    shared.unpersist()
+    drop(spark, path)
     gone = gone.select(F.col("did").alias(did), F.col("th").alias(th), F.col("ranges").alias(ranges), F.col("words").alias(words))
     joined = docs.withColumns({did: _id(), th: _hash()}).join(bounded(gone, weight=F.size(ranges)), [did, th], "left")
     # Only texts that lose lines are split.
