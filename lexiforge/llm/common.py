@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 
 BATCH_ROWS = 1000
+ROW_GROUP_BYTES = 32 << 20  # what a task that writes an intermediate table holds in memory
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -20,6 +24,19 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, rows)
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function of a Python worker, that gives freed memory back to the system at its end: the worker stays for later stages."""
+
+    @wraps(run)
+    def outer(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return outer
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,7 +61,7 @@ def save(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write an intermediate table into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import bounded, bucket_of, table
+from lexiforge.llm.common import bounded, bucket_of, table, trimmed
 from lexiforge.llm.words import mix
 
 SAMPLE_PER_LANGUAGE = 800
@@ -84,7 +84,7 @@ def document_frequency(docs: DataFrame, bits: int = BITS) -> np.ndarray:
         total = np.sum([np.frombuffer(x, dtype=np.int64) for x in pdf["counts"]], axis=0)
         return pd.DataFrame({"block": pdf["block"][:1], "counts": [total.tobytes()]})
 
-    sent = docs.where("text is not null").select(F.col("text").cast("string")).mapInPandas(count, "block long, counts binary")
+    sent = docs.where("text is not null").select(F.col("text").cast("string")).mapInPandas(trimmed(count), "block long, counts binary")
     out = np.zeros((1 << bits) + block, dtype=np.int64)
     for r in sent.groupBy("block").applyInPandas(add, "block long, counts binary").collect():
         out[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(bytes(r["counts"]), dtype=np.int64)
@@ -169,7 +169,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             got = [decide(model, t) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": [x for x, _ in got], "score": np.array([p for _, p in got], dtype=float)})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(trimmed(run), "doc_id long, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, model: Model | None, min_score: float = 0.5) -> DataFrame:
@@ -180,7 +180,7 @@ def identified(docs: DataFrame, model: Model | None, min_score: float = 0.5) ->
             got = [decide(model, t) for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array([x != "und" and p >= min_score for x, p in got], type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

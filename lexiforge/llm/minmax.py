@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import bounded, drop, save, table
+from lexiforge.llm.common import bounded, drop, save, table, trimmed
 from lexiforge.llm.components import components
 from lexiforge.llm.words import Hashes, mix, shingles, words_of
 
@@ -76,7 +76,7 @@ def sketches(docs: DataFrame, size: int, bands: int = BANDS) -> DataFrame:
                 keys.append(band_keys(signature(found, bands), bands) if len(found) else None)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": np.array(n, dtype=np.int64), "digest": digests, "bands": keys})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(trimmed(run), "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def _confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -128,9 +128,9 @@ def _confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
                             break
             yield pd.DataFrame(rows, columns=["a", "b"]).astype("int64")
 
-    sent = texts.mapInPandas(emit, "hub long, part long, is_hub boolean, b long, found binary")
+    sent = texts.mapInPandas(trimmed(emit), "hub long, part long, is_hub boolean, b long, found binary")
     meet = sent.repartition("hub", "part").sortWithinPartitions("hub", "part", F.desc("is_hub"))
-    links, _ = save(meet.mapInPandas(check, "a long, b long").distinct(), "confirmed")
+    links, _ = save(meet.mapInPandas(trimmed(check), "a long, b long").distinct(), "confirmed")
     drop(spark, path)
     return links
 
@@ -149,7 +149,7 @@ def _by_prefix(docs: DataFrame, ids: DataFrame, size: int, percent: int) -> Data
             found = [_sets(size, cache, t).view(np.int64) for t in batch["text"]]
             yield pd.DataFrame({"rep": batch["rep"], "component": batch["component"], "n": [len(x) for x in found], "found": found})
 
-    sets = texts.mapInPandas(run, "rep long, component long, n long, found array<long>")
+    sets = texts.mapInPandas(trimmed(run), "rep long, component long, n long, found array<long>")
     items = sets.select("rep", "component", "n", F.explode("found").alias("s"))
     ranked = items.join(items.groupBy("s").agg(F.count("*").alias("df")), "s").groupBy("rep", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
     prefix = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import save, table
+from lexiforge.llm.common import save, table, trimmed
 from lexiforge.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -117,7 +117,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_id
             yield out.astype({"doc_id": "Int64", "piece": "int32"})
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(trimmed(run), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

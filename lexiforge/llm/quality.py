@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import table
+from lexiforge.llm.common import table, trimmed
 
 COMMON_WORDS = 40
 MAX_CHAR_DISTANCE, MIN_CHARS = 0.25, 200
@@ -126,7 +126,7 @@ def references(docs: DataFrame, common: int = COMMON_WORDS) -> dict[str, tuple[n
 
     own = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"))
     # A language's words share no key, so a language with most rows is no hot group; ranks are cut before the shuffle by language.
-    counts = own.mapInPandas(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = own.mapInPandas(trimmed(count), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     kind = F.when(F.substring("word", 1, 1) == F.lit(b"\x00"), 0).when(~F.col("word").cast("string").rlike(r"[\p{L}\p{N}]"), 1).otherwise(2)
     per = W.partitionBy("lang", "kind").orderBy(F.desc("n"), "word")
     top = counts.withColumn("kind", kind).where("kind <> 1").withColumn("rank", F.row_number().over(per)).where(F.col("rank") <= max(common, N_CLASSES + 1))
@@ -176,7 +176,7 @@ def judge(docs: DataFrame, refs: dict[str, tuple[np.ndarray, dict[bytes, int]]],
             yield out
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, language string, char_distance double, word_distance double"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(trimmed(run), schema)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

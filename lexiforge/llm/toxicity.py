@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import bucket_of, table
+from lexiforge.llm.common import bucket_of, table, trimmed
 
 SAMPLE_PER_LABEL = 3000
 MIN_STEM, MAX_STEM = 3, 12
@@ -203,7 +203,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 out = [lexicon.prior] * len(raw)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": out, "predicted": [int(p >= 0.5) for p in out], "raw": raw})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, score double, predicted int, raw double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(trimmed(run), "doc_id long, score double, predicted int, raw double")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
