@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import struct
 import tempfile
 
 import numpy as np
@@ -11,113 +12,138 @@ _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.int64)
 _SELECT = np.array([[(np.flatnonzero([b >> k & 1 for k in range(8)]).tolist() + [8] * 8)[i] for i in range(8)] for b in range(256)], dtype=np.int64)
 
 
-def _pack(values: np.ndarray, bits: int) -> np.ndarray:
-    """Values of ``bits`` bits each, one after the other."""
-    if not bits:
-        return np.zeros(0, dtype=np.uint8)
-    shifts = np.arange(bits, dtype=np.uint64)
-    return np.packbits(((values[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
+def joined(parts: list[bytes]) -> bytes:
+    """Several strings of bytes as one."""
+    return b"".join([struct.pack(f"<{len(parts) + 1}q", len(parts), *map(len, parts)), *parts])
+
+
+def parted(raw: bytes) -> list[memoryview]:
+    """The strings of bytes that ``joined`` has put together."""
+    n = struct.unpack_from("<q", raw)[0]
+    out, at = [], 8 * (n + 1)
+    for size in struct.unpack_from(f"<{n}q", raw, 8):
+        out.append(memoryview(raw)[at : at + size])
+        at += size
+    return out
 
 
 class EliasFano:
-    """A monotone sequence of n integers below ``universe``: low bits packed, high bits in unary.
+    """A monotone sequence of n integers below ``universe``: low bits in whole bytes, high bits in unary.
 
-    About 2 + log2(universe / n) bits for each. ``at`` gives values by their places; ``rank`` the place of the first
-    value not below x.
+    About 2 + log2(universe / n) bits for each, the low ones rounded up to whole bytes. ``at`` gives values by their
+    places; ``rank`` the place of the first value not below x, by its high bits first.
     """
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
+    def __init__(self, n: int, low_bytes: int, low: np.ndarray, high: np.ndarray):
+        self.n, self.low_bytes, self.low, self.high = n, low_bytes, low, high
         self.ones = np.concatenate([[0], np.cumsum(_POPCOUNT[high])])
+        self.zeros = 8 * np.arange(len(self.ones)) - self.ones
 
     @classmethod
     def encode(cls, values: np.ndarray, universe: int) -> EliasFano:
-        values = values.astype(np.uint64)
+        values = np.ascontiguousarray(values, dtype="<u8")
         n = len(values)
-        low_bits = max(0, (int(universe) // max(n, 1)).bit_length() - 1)
-        low = np.concatenate([_pack(part & np.uint64((1 << low_bits) - 1), low_bits) for part in np.split(values, range(1 << 16, n, 1 << 16))]) if n else np.zeros(0, dtype=np.uint8)
-        ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
-        bits = np.zeros((int(ones[-1]) + 8) // 8 * 8 if n else 8, dtype=np.uint8)
+        low_bytes = min(7, -(-max(0, (int(universe) // max(n, 1)).bit_length() - 1) // 8))
+        low = np.ascontiguousarray(values.view(np.uint8).reshape(n, 8)[:, :low_bytes]).ravel()
+        ones = (values >> np.uint64(8 * low_bytes)).astype(np.int64) + np.arange(n)
+        bits = np.zeros((int(ones[-1]) + 9) // 8 * 8 if n else 8, dtype=np.uint8)
         bits[ones] = 1
-        return cls(n, low_bits, low, np.packbits(bits, bitorder="little"))
+        return cls(n, low_bytes, low, np.packbits(bits, bitorder="little"))
+
+    def pack(self) -> bytes:
+        return joined([struct.pack("<qq", self.n, self.low_bytes), self.low.tobytes(), self.high.tobytes()])
+
+    @classmethod
+    def unpack(cls, raw: bytes, keep=lambda _name, values: values) -> EliasFano:
+        """keep: what to do with each array, for instance to map it."""
+        head, low, high = parted(raw)
+        n, low_bytes = struct.unpack("<qq", head)
+        return cls(n, low_bytes, keep("low", np.frombuffer(low, dtype=np.uint8)), keep("high", np.frombuffer(high, dtype=np.uint8)))
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(i), 8), dtype=np.uint8)
+        if self.low_bytes:
+            out[:, : self.low_bytes] = self.low.reshape(self.n, self.low_bytes)[i]
+        return out.view("<u8").ravel()
+
+    def all(self) -> np.ndarray:
+        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
+        return (high.astype(np.uint64) << np.uint64(8 * self.low_bytes)) | self._low(np.arange(self.n))
 
     def at(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, dtype=np.int64)
         byte = np.searchsorted(self.ones, i, side="right") - 1
         high = byte * 8 + _SELECT[self.high[byte], i - self.ones[byte]] - i
-        if not self.low_bits:
-            return high.astype(np.uint64)
-        first = i * self.low_bits
-        # Nine bytes hold any field of up to 64 bits; past the end there are zeros.
-        got = np.zeros(len(i), dtype=np.uint64)
-        shift = (first & 7).astype(np.uint64)
-        for k in range((self.low_bits + 14) // 8):
-            where = (first >> 3) + k
-            byte_k = np.where(where < len(self.low), self.low[np.minimum(where, len(self.low) - 1)], 0).astype(np.uint64)
-            place = np.int64(8 * k) - shift.astype(np.int64)
-            got |= np.where(place >= 0, byte_k << np.clip(place, 0, 63).astype(np.uint64), byte_k >> np.clip(-place, 0, 63).astype(np.uint64)) if k else byte_k >> shift
-        return (high.astype(np.uint64) << np.uint64(self.low_bits)) | (got & np.uint64((1 << self.low_bits) - 1))
+        return (high.astype(np.uint64) << np.uint64(8 * self.low_bytes)) | self._low(i)
+
+    def _start(self, high: np.ndarray) -> np.ndarray:
+        """Values whose high bits are below ``high``."""
+        k = high - 1  # they end at this zero
+        inside = (k >= 0) & (k < self.zeros[-1])
+        byte = np.searchsorted(self.zeros, np.where(inside, k, 0), side="right") - 1
+        zero = byte * 8 + _SELECT[255 - self.high[byte], np.where(inside, k, 0) - self.zeros[byte]]
+        return np.where(k < 0, 0, np.where(inside, zero - k, self.n))
 
     def rank(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
-        """First place in [lo, hi) whose value isn't below x, else hi; by bisection, for all x at once."""
-        lo = np.zeros(len(x), dtype=np.int64) if lo is None else lo.astype(np.int64)
-        hi = np.full(len(x), self.n, dtype=np.int64) if hi is None else hi.astype(np.int64)
-        while np.any(open_ := lo < hi):
-            mid = (lo + hi) // 2
-            below = np.zeros(len(x), dtype=bool)
-            below[open_] = self.at(mid[open_]) < x[open_]
-            lo, hi = np.where(open_ & below, mid + 1, lo), np.where(open_ & ~below, mid, hi)
-        return lo
+        """First place in [lo, hi) whose value isn't below x, else hi, for all x at once."""
+        x = np.asarray(x, dtype=np.uint64)
+        if not self.n:
+            return np.zeros(len(x), dtype=np.int64)
+        high = (x >> np.uint64(8 * self.low_bytes)).astype(np.int64)
+        a, b = self._start(high), self._start(high + 1)
+        if lo is not None:
+            a, b = np.clip(a, lo, hi), np.clip(b, lo, hi)
+        low = x & np.uint64((1 << 8 * self.low_bytes) - 1)
+        while len(at := np.flatnonzero(a < b)):
+            mid = (a[at] + b[at]) // 2
+            below = self._low(mid) < low[at]
+            a[at] = np.where(below, mid + 1, a[at])
+            b[at] = np.where(below, b[at], mid)
+        return a
 
 
 class Trie:
-    """Contexts in order, monotone pointers to their successors, successors relative to their context, quantised values.
+    """Words in the order of their hashes, monotone pointers to their successors, these relative to their context, and quantised values of both.
 
-    The successors of context number r are stored as r * span + successor - least of r, which is monotone over all
-    contexts; a query searches in its context's range only. With a folder the levels are written there and mapped.
+    A successor s of word number r is the value r * 2**32 + s of one sequence; it is searched between the pointers of r.
     """
 
-    def __init__(self, contexts: np.ndarray, successors: np.ndarray, codes: np.ndarray, context_bits: int, successor_bits: int, folder: str | None = None):
-        """Rows sorted by (context, successor), without repeats; codes: uint8."""
-        starts = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]])) if len(contexts) else np.zeros(0, dtype=np.int64)
-        owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(contexts))))
-        base = successors[starts] if len(starts) else successors
-        relative = successors - base[owner] if len(starts) else successors
-        self.span = int(relative.max()) + 1 if len(relative) else 1
-        self.context = EliasFano.encode(contexts[starts], 1 << context_bits)
-        self.pointer = EliasFano.encode(np.append(starts, len(contexts)), len(contexts) + 1)
-        # Gaps between contexts are kept small: each context's block is as wide as its own largest relative successor.
-        width = np.maximum.reduceat(relative, starts) + np.uint64(1) if len(starts) else relative
-        self.offset = EliasFano.encode(np.concatenate([[0], np.cumsum(width)]).astype(np.uint64), int(width.sum()) + 1 if len(width) else 1)
-        before = np.concatenate([[0], np.cumsum(width)])[:-1].astype(np.uint64) if len(starts) else relative
-        self.base = base.astype(np.uint64)
-        self.successor = EliasFano.encode(relative + before[owner] if len(starts) else relative, int(width.sum()) + 1 if len(width) else 1)
-        self.codes = codes
-        if folder is not None:
-            for name, level in (("context", self.context), ("pointer", self.pointer), ("offset", self.offset), ("successor", self.successor)):
-                level.low, level.high = _mapped(folder, f"{name}.low", level.low), _mapped(folder, f"{name}.high", level.high)
-            self.base, self.codes = _mapped(folder, "base", self.base), _mapped(folder, "codes", self.codes)
-
-    def find(self, contexts: np.ndarray, successors: np.ndarray) -> np.ndarray:
-        """Codes of the n-grams; 0 for those that aren't there."""
-        out = np.zeros(len(contexts), dtype=np.uint8)
-        if not self.context.n or not len(contexts):
-            return out
-        r = self.context.rank(contexts)
-        known = r < self.context.n
-        known[known] = self.context.at(r[known]) == contexts[known]
-        q = np.flatnonzero(known)
-        r = r[q]
-        ok = successors[q] >= self.base[r]
-        q, r = q[ok], r[ok]
-        x = successors[q] - self.base[r] + self.offset.at(r)
-        ok = x < self.offset.at(r + 1)
-        q, r, x = q[ok], r[ok], x[ok]
-        lo, hi = self.pointer.at(r).astype(np.int64), self.pointer.at(r + 1).astype(np.int64)
-        at = self.successor.rank(x, lo, hi)
-        ok = at < hi
-        ok[ok] = self.successor.at(at[ok]) == x[ok]
-        out[q[ok]] = self.codes[at[ok]]
+    def __init__(self, words: EliasFano, pointers: EliasFano, successors: EliasFano, counts: np.ndarray, backoff: np.ndarray, codes: np.ndarray):
+        self.words, self.pointers, self.successors, self.counts, self.backoff, self.codes = words, pointers, successors, counts, backoff, codes
+
+    @classmethod
+    def build(cls, words: np.ndarray, counts: np.ndarray, backoff: np.ndarray, pairs: np.ndarray, codes: np.ndarray) -> Trie:
+        """words: sorted; pairs: (number of the word << 32 | successor), sorted; neither has repeats."""
+        starts = np.searchsorted(pairs >> np.uint64(32), np.arange(len(words) + 1, dtype=np.uint64))
+        return cls(EliasFano.encode(words, 1 << 64), EliasFano.encode(starts, len(pairs) + 1), EliasFano.encode(pairs, max(1, len(words)) << 32), counts.astype("<i8"), backoff.astype(np.uint8), codes.astype(np.uint8))
+
+    def pack(self) -> bytes:
+        return joined([*(x.pack() for x in (self.words, self.pointers, self.successors)), self.counts.tobytes(), self.backoff.tobytes(), self.codes.tobytes()])
+
+    @classmethod
+    def mapped(cls, raw: bytes, folder: str) -> Trie:
+        """The trie with its levels in files of ``folder``, memory-mapped."""
+        parts = parted(raw)
+        levels = [EliasFano.unpack(x, lambda name, v, k=k: _mapped(folder, f"{k}.{name}", v)) for k, x in enumerate(parts[:3])]
+        values = [np.frombuffer(x, dtype=t) for x, t in zip(parts[3:], ("<i8", np.uint8, np.uint8), strict=True)]
+        return cls(*levels, *(_mapped(folder, f"values.{k}", v) for k, v in enumerate(values)))
+
+    def find_words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each word and whether it is there."""
+        r = self.words.rank(words)
+        known = r < self.words.n
+        known[known] = self.words.at(r[known]) == words[known]
+        return r, known
+
+    def find_pairs(self, r: np.ndarray, successors: np.ndarray) -> np.ndarray:
+        """Codes of successors of the words numbered r; 0 for those that aren't there."""
+        out = np.zeros(len(r), dtype=np.uint8)
+        lo, hi = self.pointers.at(r).astype(np.int64), self.pointers.at(r + 1).astype(np.int64)
+        x = (r.astype(np.uint64) << np.uint64(32)) | successors
+        at = self.successors.rank(x, lo, hi)
+        ok = np.flatnonzero(at < hi)
+        ok = ok[self.successors.at(at[ok]) == x[ok]]
+        out[ok] = self.codes[at[ok]]
         return out
 
 
