@@ -174,13 +174,16 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def identified(docs: DataFrame, model: Model | None, min_score: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, whose language is known with ``min_score`` or more."""
+    names = [f"c{i}" for i in range(len(docs.columns))]  # columns may have any names
+    text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [decide(model, t) for t in batch.column("text").to_pylist()]
+            got = [decide(model, t) for t in batch.column(text).to_pylist()]
             yield batch.filter(pa.array([x != "und" and p >= min_score for x, p in got], type=pa.bool_()))
 
-    return docs.mapInArrow(trimmed(run), docs.schema)
+    own = docs.toDF(*names)
+    return own.mapInArrow(trimmed(run), own.schema).toDF(*docs.columns)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

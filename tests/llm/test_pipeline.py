@@ -37,3 +37,24 @@ def test_an_empty_table(spark):
     for _, stage in pipeline.STAGES:
         out = stage(spark, docs, SF)
         assert out.count() == 0
+
+
+def test_odd_rows_and_columns(spark):
+    """Nulls, repeated rows, a very long text and columns with the names that the operators use."""
+    good = [r["text"] for r in table(spark, SF, "documents").orderBy("doc_id").collect() if r["text"] and r["n_chars"] > 400][:60]
+    item = next(r["text"] for r in table(spark, SF, "benchmark").orderBy("item_id").collect() if r["text"] and len(r["text"].split()) > 20)
+    rows = [(i, t) for i, t in enumerate(good)] + [(None, f"{item}"), (500, item), (None, None), (501, None), (502, ""), (503, "12 34 !"), (5, good[5]), (5, good[5]), (None, good[7])]
+    rows.append((600, "\n".join(f"{i} {t}" for i in range(20) for t in good)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", "y", 1, [2]) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, th string, `a.b` string, removed_words int, bands array<int>")
+    columns = docs.columns
+    out = docs
+    for name, stage in pipeline.STAGES[:-1]:
+        out = spark.createDataFrame(stage(spark, out, SF).collect(), docs.schema)
+        assert out.columns == columns, name
+        left = {(r["doc_id"], r["text"]) for r in out.collect()}
+        assert {(r["th"], r["a.b"], r["removed_words"]) for r in out.collect()} == {("x", "y", 1)}
+        assert not {i for i, _ in left} & {501, 502, 503} and (None, None) not in left
+    assert 500 not in {i for i, _ in left} and (None, item) not in left
+    assert 600 in {i for i, _ in left}
+    packed = pipeline.STAGES[-1][1](spark, out, SF)
+    assert packed.count() >= out.count()
