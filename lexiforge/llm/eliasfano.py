@@ -30,7 +30,7 @@ def parted(raw: bytes) -> list[memoryview]:
 class EliasFano:
     """A monotone sequence of n integers below ``universe``: low bits in whole bytes, high bits in unary.
 
-    About 2 + log2(universe / n) bits for each, the low ones rounded up to whole bytes. ``at`` gives values by their
+    About 2 + log2(universe / n) bits for each, the low ones rounded to whole bytes. ``at`` gives values by their
     places; ``rank`` the place of the first value not below x, by its high bits first.
     """
 
@@ -43,7 +43,8 @@ class EliasFano:
     def encode(cls, values: np.ndarray, universe: int) -> EliasFano:
         values = np.ascontiguousarray(values, dtype="<u8")
         n = len(values)
-        low_bytes = min(7, -(-max(0, (int(universe) // max(n, 1)).bit_length() - 1) // 8))
+        low_bits = max(0, (int(universe) // max(n, 1)).bit_length() - 1)
+        low_bytes = min(7, (low_bits + 5) // 8)  # up to two bits more in unary take less than the rest of a byte
         low = np.ascontiguousarray(values.view(np.uint8).reshape(n, 8)[:, :low_bytes]).ravel()
         ones = (values >> np.uint64(8 * low_bytes)).astype(np.int64) + np.arange(n)
         bits = np.zeros((int(ones[-1]) + 9) // 8 * 8 if n else 8, dtype=np.uint8)

@@ -17,7 +17,7 @@ after a word that isn't known, have p(v). The first term and the factor of the s
 logarithmic scale of 254 steps (each within 2 percent). Words are told apart by 64 bits of hash, the successors of a
 context by 32. Triples are left out: see the README.
 
-A word with more than its share of all tokens, an average shard's worth, would make its shard a hot one. Its
+A word with more than its share of all tokens, an average shard's worth by a sample, would make its shard a hot one. Its
 successors are dealt by their hash to several stand-ins of the word, each at a place of its own; the sums of the
 stand-ins are put together on the driver (a few for each shard at most), so results are those of one context.
 
@@ -81,23 +81,30 @@ class Model:
 class Grams:
     """Distinct words, stand-ins and pairs of some texts, in order, and where each token finds its own."""
 
-    def __init__(self, texts: list[str], cache: Hashes, hot: np.ndarray, copies: np.ndarray):
+    def __init__(self, texts: list[str], cache: Hashes, hot: np.ndarray, copies: np.ndarray, places: bool = False):
+        """places: whether each token's own pair is looked for too (``pair_of``)."""
         found = [np.append(cache.of(words_of(t)), np.uint64(cache[END])) for t in texts]
         tokens = np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
         self.text = np.repeat(np.arange(len(found)), [len(x) for x in found])
         self.second = np.flatnonzero(self.text[1:] == self.text[:-1]) + 1
-        context, own = tokens[self.second - 1], tokens[self.second]
-        self.is_hot, self.which_hot = np.zeros(len(context), dtype=bool), np.zeros(len(context), dtype=np.int64)
+        own, n = tokens[self.second], len(tokens)
+        self.hot_at, self.which_hot = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         if len(hot):
-            self.which_hot = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
-            self.is_hot = hot[self.which_hot] == context
-            nth = (own >> np.uint64(32)) % copies[self.which_hot].astype(np.uint64) + np.uint64(1)
-            context = np.where(self.is_hot, mix(context + nth * _STAND_IN), context)
-        self.words, at = np.unique(np.concatenate([tokens, context]), return_inverse=True)
-        self.word_of = at[: len(tokens)]
-        self.context_of = at[len(tokens) :]
+            context = tokens[self.second - 1]
+            which = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
+            self.hot_at = np.flatnonzero(hot[which] == context)
+            self.which_hot = which[self.hot_at]
+            nth = (own[self.hot_at] >> np.uint64(32)) % copies[self.which_hot].astype(np.uint64) + np.uint64(1)
+            tokens = np.concatenate([tokens, mix(context[self.hot_at] + nth * _STAND_IN)])
+        self.words, at = np.unique(tokens, return_inverse=True)
+        self.word_of = at[:n]
+        self.context_of = self.word_of[self.second - 1]
+        self.context_of[self.hot_at] = at[n:]
         pairs = (self.context_of.astype(np.uint64) << np.uint64(32)) | (own & _SUCCESSOR)
-        self.pairs, self.pair_of, self.pair_counts = np.unique(pairs, return_inverse=True, return_counts=True)
+        if places:
+            self.pairs, self.pair_of = np.unique(pairs, return_inverse=True)
+        else:
+            self.pairs, self.pair_counts = np.unique(pairs, return_counts=True)
         self.counts = np.bincount(self.word_of, minlength=len(self.words))  # of stand-ins: 0
 
     def messages(self, shards: int, with_counts: bool) -> Iterator[tuple[int, bytes]]:
@@ -144,10 +151,12 @@ def _blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[list[str]]:
         yield held
 
 
-def hot_words(docs: DataFrame, shards: int, least: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+def hot_words(docs: DataFrame, shards: int, least: int = 1000, sample: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words that have an average shard's tokens or more, and their numbers of stand-ins.
 
-    A task sends the words that are at least ``least`` and a 2 * shards-th of its tokens, so few rows whatever the text.
+    They are looked for in one of ``sample`` documents, by hash: what stands for what balances the shards, and doesn't
+    change a score. A task sends the words that are at least ``least`` and a 2 * shards-th of its tokens, so few rows
+    whatever the text.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,7 +168,8 @@ def hot_words(docs: DataFrame, shards: int, least: int = 1000) -> tuple[np.ndarr
             own = [np.append(found[often], [np.uint64(0), np.uint64(cache[END])]).view(np.int64), np.append(n[often], [len(tokens) + len(texts), len(texts)])]
             yield pd.DataFrame({"h": own[0], "n": own[1]})
 
-    rows = docs.select(F.col("text").cast("string")).mapInPandas(trimmed(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    some = docs.where(F.pmod(F.xxhash64("text", F.lit(8)), F.lit(sample)) == 0)
+    rows = some.select(F.col("text").cast("string")).mapInPandas(trimmed(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     rows, _ = save(rows, "often")
     total = rows.where("h = 0").agg(F.sum("n").alias("n")).first()["n"] or 0
     often = rows.where("h <> 0").where(F.col("n") * shards > total).collect()  # at most shards rows
@@ -167,10 +177,10 @@ def hot_words(docs: DataFrame, shards: int, least: int = 1000) -> tuple[np.ndarr
     return np.array([h for h, _ in found], dtype=np.uint64), np.array([k for _, k in found], dtype=np.int64)
 
 
-def train(docs: DataFrame, shards: int | None = None, least: int = 1000) -> Model:
-    """The model of all texts of docs."""
+def train(docs: DataFrame, shards: int | None = None, least: int = 1000, sample: int = 64) -> Model:
+    """The model of all texts of docs; least, sample: of ``hot_words``."""
     shards = shards or parts_for(docs.sparkSession, text_bytes(docs), SHARD_BYTES)
-    hot, copies = hot_words(docs, shards, least)
+    hot, copies = hot_words(docs, shards, least, sample)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = Hashes()
@@ -273,7 +283,7 @@ def score(docs: DataFrame, held_out: Column, model: Model, blocks: int | None =
         if not len(left):
             return pd.DataFrame({c: [] for c in names})
         (ids, none, held), texts = _unpacked(left["packed"])
-        grams = Grams(texts, Hashes(), hot, copies)
+        grams = Grams(texts, Hashes(), hot, copies, places=True)
         parts = [[zlib.decompress(x) for x in parted(raw)] for raw in right.sort_values("shard")["found"]]
         counts, factors, codes = (np.frombuffer(b"".join(p[k] for p in parts), dtype=t) for k, t in enumerate(("<i8", np.uint8, np.uint8)))
         if len(counts) != len(grams.words) or len(codes) != len(grams.pairs):
@@ -284,9 +294,8 @@ def score(docs: DataFrame, held_out: Column, model: Model, blocks: int | None =
         at, context = grams.second, grams.context_of
         first, factor = dequantise(codes[grams.pair_of]), dequantise(factors[context])
         if len(hot):
-            share = np.array([shares.get(h, 0.0) for h in grams.words[context[grams.is_hot]].tolist()])
-            first[grams.is_hot] *= share
-            factor[grams.is_hot] = backoff[grams.which_hot[grams.is_hot]]
+            first[grams.hot_at] *= np.array([shares.get(h, 0.0) for h in grams.words[context[grams.hot_at]].tolist()])
+            factor[grams.hot_at] = backoff[grams.which_hot]
         learnt = factor > 0
         p[at[learnt]] = np.minimum(1.0, first[learnt] + factor[learnt] * base[at[learnt]])
         add = lambda x: np.bincount(grams.text, weights=x, minlength=len(texts))

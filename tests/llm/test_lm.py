@@ -104,7 +104,7 @@ def test_equals_brute_force(spark, least):
     rows = made()
     docs = spark.createDataFrame([(*r, 1.0, 2) for r in rows], "doc_id long, text string, score double, block int").repartition(3)
     learnt = [t for i, t in rows if not zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2]
-    model = train(docs.where(~held()), shards=5, least=least)
+    model = train(docs.where(~held()), shards=5, least=least, sample=1)
     assert (len(model.hot) > 0) == (least == 1000)
     got = score(docs, held(), model, blocks=4).collect()
     check(got, brute(rows, learnt, exact=least == 1000), 0.02 if least == 1000 else 0.0)
