@@ -25,13 +25,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import bounded, drop, save, table, trimmed
+from lexiforge.llm.common import bounded, drop, join_by_key, save, table, trimmed
 from lexiforge.llm.components import components
 from lexiforge.llm.words import Hashes, mix, shingles, words_of
 
 BANDS, PERMUTATIONS_PER_BAND = 32, 2
 SMALL_BUCKET = 16
 GROUP = 128
+FREQUENT = 200_000
 
 
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,14 +87,14 @@ def _confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     the hub's set, so a hub with any number of members is no hot key.
     """
     spark = pairs.sparkSession
-    per_hub = pairs.groupBy("hub").agg(F.count("*").alias("m"))
-    dealt = pairs.join(per_hub, "hub").select("hub", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / GROUP)).alias("part"))
+    per_hub = pairs.groupBy("hub").agg(F.count("*").alias("n"))
+    dealt = join_by_key(pairs, per_hub, ["hub"]).select("hub", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / GROUP)).alias("part"))
     members = dealt.select(F.col("b").alias("doc_id"), "hub", "part", F.lit(False).alias("is_hub"))
     hubs = dealt.select("hub", "part").distinct().select(F.col("hub").alias("doc_id"), "hub", "part", F.lit(True).alias("is_hub"))
     use, slot = F.struct("hub", "part", "is_hub"), F.floor(F.col("part") / GROUP)
     wanted = members.unionByName(hubs).groupBy("doc_id", slot.alias("slot")).agg(F.collect_list(use).alias("uses"))
     wanted, path = save(wanted, "wanted")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(bounded(wanted), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(bounded(wanted, weight=F.size("uses")), "doc_id")
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, names = Hashes(), ["hub", "part", "is_hub", "b", "found"]
@@ -139,21 +140,42 @@ def _similar_size(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _by_prefix(docs: DataFrame, ids: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs(hub, b) of ids(rep, component) of different components that share a rare shingle of their prefixes."""
+def _by_prefix(docs: DataFrame, ids: DataFrame, size: int, percent: int, frequent: int = FREQUENT) -> tuple[DataFrame, list[str]]:
+    """Pairs(hub, b) of ids(rep, component) of different components that share a rare shingle of their prefixes, and the tables they are read from.
+
+    Any one order of the shingles gives a right prefix filter. Here it is by rising number of sets that hold them, which
+    is known for the most frequent ones, at most ``frequent``; the others come before these, by hash.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(bounded(ids), "rep")
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = Hashes()
+        for batch in batches:
+            s, n = np.unique(np.concatenate([_sets(size, cache, t) for t in batch["text"]]), return_counts=True)
+            yield pd.DataFrame({"s": s.view(np.int64), "n": n})
+
+    counted, counted_path = save(texts.select("text").mapInPandas(trimmed(count), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")), "counted")
+    total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
+    often = counted.where(F.col("n") > max(1, total // frequent)).collect()  # fewer than ``frequent`` rows
+    known = np.array(sorted((r["s"], r["n"]) for r in often), dtype=np.int64).reshape(-1, 2)
+    drop(docs.sparkSession, counted_path)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = Hashes()
         for batch in batches:
-            found = [_sets(size, cache, t).view(np.int64) for t in batch["text"]]
-            yield pd.DataFrame({"rep": batch["rep"], "component": batch["component"], "n": [len(x) for x in found], "found": found})
-
-    sets = texts.mapInPandas(trimmed(run), "rep long, component long, n long, found array<long>")
-    items = sets.select("rep", "component", "n", F.explode("found").alias("s"))
-    ranked = items.join(items.groupBy("s").agg(F.count("*").alias("df")), "s").groupBy("rep", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
-    prefix = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    cut, _ = save(ranked.select("rep", "component", "n", F.posexplode(prefix).alias("at", "x")).where("x.df > 1").select("rep", "component", "n", "at", F.col("x.s").alias("s")), "prefixes")
+            out = []
+            for rep, component, text in zip(batch["rep"], batch["component"], batch["text"], strict=True):
+                found = _sets(size, cache, text).view(np.int64)
+                place = np.minimum(np.searchsorted(known[:, 0], found), max(0, len(known) - 1))
+                n = np.where(known[place, 0] == found, known[place, 1], 0) if len(known) else np.zeros(len(found), dtype=np.int64)
+                prefix = found[np.lexsort((found, n))][: len(found) - -(-len(found) * percent // 100) + 1]
+                out.append(pd.DataFrame({"rep": rep, "component": component, "n": len(found), "at": np.arange(len(prefix)), "s": prefix}))
+            yield pd.concat(out)
+
+    cut, cut_path = save(texts.mapInPandas(trimmed(run), "rep long, component long, n long, at long, s long"), "prefixes")
+    # Shingles of a single component link nothing that isn't linked.
+    across, across_path = save(cut.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("s", F.col("m").alias("n")), "across")
+    cut = join_by_key(cut.withColumnRenamed("n", "size"), across, ["s"]).drop("n").withColumnRenamed("size", "n")
     # The smaller set of a pair must meet the other one in a shorter prefix still, and what follows a shared place bounds the overlap.
     least = F.ceil(F.col("n") * (2 * percent) / (100 + percent))
     small = cut.where(F.col("at") <= F.col("n") - least)
@@ -162,52 +184,61 @@ def _by_prefix(docs: DataFrame, ids: DataFrame, size: int, percent: int) -> Data
     room = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= needed
     apart = (F.struct("n", "rep") < F.struct("n_b", "b")) & (F.col("component") != F.col("other"))
     near = small.join(other, (small["s"] == other["s"]) & apart & room & _similar_size("n", "n_b", percent))
-    return near.select(F.least("rep", "b").alias("hub"), F.greatest("rep", "b").alias("b")).distinct()
+    return near.select(F.least("rep", "b").alias("hub"), F.greatest("rep", "b").alias("b")).distinct(), [cut_path, across_path]
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row per row of docs; links need ``percent`` of the union shared."""
+    spark = docs.sparkSession
     sketch, _ = save(sketches(docs, shingle_words, bands), "sketches")
     linked = sketch.where("digest is not null and doc_id is not null")
-    classes = linked.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes, classes_path = save(linked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
 
-    firsts = linked.join(classes, "digest").where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    met = firsts.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    members, members_path = save(firsts.join(met.select("key", "m"), "key"), "members")
+    whole = linked.withColumnRenamed("n_shingles", "size").select("doc_id", "digest", "size", "bands")
+    firsts = join_by_key(whole, classes, ["digest"]).where("doc_id = rep").select("rep", "size", F.explode("bands").alias("key")).distinct()
+    met, met_path = save(firsts.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key", "n"), "met")
+    members, members_path = save(join_by_key(firsts, met, ["key"]).select("key", "rep", F.col("size").alias("n"), F.col("n").alias("m")), "members")
 
     weight = members.groupBy("rep").agg(F.sum("m").alias("weight"))
     central = F.min_by(F.struct(F.col("rep").alias("hub"), F.col("n").alias("n_hub")), F.struct(-F.col("weight"), F.col("rep")))
-    hubs = members.join(weight, "rep").groupBy("key").agg(central.alias("x")).select("key", "x.*")
-    stars = members.join(hubs, "key").where("rep <> hub").where(_similar_size("n", "n_hub", percent))
+    hubs, hubs_path = save(members.join(weight, "rep").groupBy("key").agg(central.alias("x"), F.count("*").alias("n")).select("key", "n", "x.*"), "hubs")
+    stars = join_by_key(members.withColumnRenamed("n", "size"), hubs, ["key"]).where("rep <> hub").where(_similar_size("size", "n_hub", percent))
     stars, stars_path = save(stars.select("hub", F.col("rep").alias("b")).distinct(), "stars")
     links = _confirm(docs, stars, shingle_words, percent)
 
-    of_id = linked.join(classes, "digest").select("doc_id", "rep").distinct()
+    # Rows that share an id and differ in their sets are one vertex.
+    several = linked.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("doc_id")
+    of_id = linked.select("doc_id", "digest").join(bounded(several), "doc_id").distinct().join(classes, "digest").select("doc_id", "rep")
     one_id = of_id.join(of_id.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("rep <> a")
     links = links.unionByName(one_id.select("a", F.col("rep").alias("b")))
     found = components(links)
 
     label = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    split = label.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    apart, apart_path = save(label.join(split.select("key"), "key").select("key", "rep", "component", "n", "m"), "apart")
+    split, split_path = save(label.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.col("n").alias("n")), "split")
+    apart = join_by_key(label.withColumnRenamed("n", "size"), split, ["key"]).select("key", "rep", "component", F.col("size").alias("n"), "m")
+    apart, apart_path = save(apart, "apart")
     small = apart.where(F.col("m") <= SMALL_BUCKET)
     other = small.select("key", F.col("rep").alias("b"), F.col("component").alias("other"), F.col("n").alias("n_b"))
     near = small.join(other, "key").where("rep < b and component <> other").where(_similar_size("n", "n_b", percent))
     pairs = near.select(F.col("rep").alias("hub"), "b").distinct()
-    large = apart.where(F.col("m") > SMALL_BUCKET).select("rep", "component").distinct()
+    large, prefix_paths = apart.where(F.col("m") > SMALL_BUCKET).select("rep", "component").distinct(), []
     if large.limit(1).count():
-        pairs = pairs.unionByName(_by_prefix(docs, large, shingle_words, percent)).distinct()
+        by_prefix, prefix_paths = _by_prefix(docs, large, shingle_words, percent)
+        pairs = pairs.unionByName(by_prefix).distinct()
     tested = stars.select(F.least("hub", "b").alias("hub"), F.greatest("hub", "b").alias("b"))
     pairs, pairs_path = save(pairs.join(tested, ["hub", "b"], "left_anti"), "pairs")
     if pairs.limit(1).count():
         more = _confirm(docs, pairs, shingle_words, percent)
         if more.limit(1).count():
             found = components(links.unionByName(more))
-    drop(docs.sparkSession, members_path, stars_path, apart_path, pairs_path)
 
-    out = sketch.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    # Components meet classes, one row each; then copies meet their class.
+    named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component"))
+    named, _ = save(named, "named")
+    drop(spark, classes_path, met_path, members_path, hubs_path, stars_path, split_path, apart_path, pairs_path, *prefix_paths)
+    own = join_by_key(linked.select("doc_id", "n_shingles", "digest"), named, ["digest"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    alone = sketch.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return own.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
