@@ -119,3 +119,49 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def _sql(templates: dict[str, str], phrases: dict[str, str], k: int = K) -> str:
+    """The scan in DuckDB's SQL: words are compared, not hashes."""
+    quoted = lambda x: "'" + " ".join(x.split()).replace("'", "''") + "'"
+    rows = lambda pairs: ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in sorted(pairs.items()))
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    grams = f"unnest(range(1, len(w) - {k - 2})) AS pos"
+    gram = f"array_to_string(w[pos:pos + {k - 1}], ' ')"
+    return f"""
+WITH words AS (
+  SELECT doc_id, {words} AS w FROM documents
+), phrases AS (
+  SELECT string_split(col0, ' ') AS p, col1 AS label FROM (VALUES {rows(phrases)})
+), places AS (
+  SELECT doc_id, pos - 1 AS pos, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM words) x JOIN phrases ON w[pos] = p[1] AND w[pos:pos + len(p) - 1] = p
+), base AS (
+  SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id
+), templates AS (
+  SELECT col0 AS template, {words.replace("text", "col1")} AS w FROM (VALUES {rows(templates)})
+), of_template AS (
+  SELECT template, len(w) AS length, pos AS place, {gram} AS gram FROM (SELECT *, {grams} FROM templates)
+), hits AS (
+  SELECT doc_id, template, length, place, pos, pos - place AS diagonal FROM (SELECT doc_id, pos, {gram} AS gram FROM (SELECT *, {grams} FROM words)) JOIN of_template USING (gram)
+), fresh AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {NEAR_DIAGONALS} THEN 0 ELSE 1 END AS fresh FROM hits
+), clusters AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS cluster FROM fresh
+), covered AS (
+  SELECT DISTINCT doc_id, template, cluster, unnest(range(place, place + {k})) AS word FROM clusters
+), cover AS (
+  SELECT doc_id, template, cluster, count(*) AS n FROM covered GROUP BY doc_id, template, cluster
+), extent AS (
+  SELECT doc_id, template, cluster, any_value(length) AS length, max(pos) + {k - 1} - min(pos) + 1 AS stretch FROM clusters GROUP BY doc_id, template, cluster
+), spans AS (
+  SELECT doc_id, template, n / length AS coverage FROM cover JOIN extent USING (doc_id, template, cluster) WHERE n / length >= {MIN_COVERAGE} AND stretch <= {MAX_STRETCH} * length
+), best AS (
+  SELECT doc_id, max(coverage) AS best, list(DISTINCT template) AS own FROM spans GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(coalesce(labels, []) || coalesce(own, []))), ',') AS labels, CAST(greatest(coalesce(best, 0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0 END) AS DOUBLE) AS score
+FROM words LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+
+OP10_SQL = _sql(TEMPLATES, PHRASES)

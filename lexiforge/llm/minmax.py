@@ -243,3 +243,27 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
+# All pairs of documents that share a shingle, exactly counted, and all that links reach.
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), sized AS (
+  SELECT * FROM shingles JOIN sizes USING (doc_id)
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c
+  FROM sized a JOIN sized b ON a.s = b.s AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM shared WHERE 100 * c >= 80 * (n + m - c)
+), reach AS (
+  SELECT doc_id, doc_id AS c FROM documents UNION SELECT b, c FROM reach JOIN links ON reach.doc_id = a
+), component AS (
+  SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN component USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""

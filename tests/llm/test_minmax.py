@@ -1,8 +1,10 @@
 import random
+from functools import partial
 
 import pytest
 
 from lexiforge.llm import minmax
+from lexiforge.llm.common import join_by_key
 from lexiforge.llm.components import components
 from lexiforge.llm.minmax import near_duplicates, op2_minhash_near_dedup
 from lexiforge.llm.words import words_of
@@ -69,6 +71,36 @@ def test_rows_with_one_id_and_empty_table(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_hot_keys(spark, monkeypatch):
+    """A third of all rows copies of one text, and a large group of near-copies, where no table is broadcast whole."""
+    monkeypatch.setattr(minmax, "join_by_key", partial(join_by_key, broadcast_rows=0, hot_keys=20))
+    monkeypatch.setattr(minmax, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(minmax, "FREQUENT", 5)
+    near = [f"w{i}" for i in range(60)]
+    rows = [*corpus(7, groups=6)]
+    rows += [(1000 + i, "the very same words in all of these") for i in range(60)]
+    rows += [(2000 + i, " ".join([*near[:i], f"x{i}", *near[i:]])) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(tuple(r) for r in near_duplicates(docs, 2).collect()) == brute(rows, 2, 80)
+
+
+def test_recall_on_small_sets(spark):
+    """Pairs of sets of 4 and 5 shingles, just at the threshold: all are found."""
+    rows = []
+    for i in range(400):
+        words = [f"p{i}w{j}" for j in range(6)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:5]))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).where("not kept").count()
+    assert got == 400
+
+
+def test_very_long_texts(spark):
+    text = " ".join(f"w{i % 90_000}" for i in range(300_000))
+    rows = [(1, text), (2, text + " tail"), (3, "w1 w2"), (4, None)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == {1: (90_000, 1), 2: (90_001, 1), 3: (1, 3), 4: (0, 4)}
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 3), (20, 21), (5, 5), (30, 29), (29, 28), (28, 27), (27, 26), (26, 25)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
