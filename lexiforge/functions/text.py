@@ -56,6 +56,18 @@ def source_of_file(name: Column) -> Column:
     return F.regexp_replace(name, r"(_posts|_text_comments|_comments)\.csv\.gz$", "")
 
 
+def clean_author(author: Column) -> Column:
+    """New lines and tabs as spaces, for tab-separated tables."""
+    return F.translate(author, "\n\r\t", "   ")
+
+
+def shipped_stop_words(language: str = "english") -> tuple[str, ...]:
+    """The list that Spark ships, which the dictionary builder and the vocabulary filter take instead of STOP_WORDS."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return tuple(StopWordsRemover.loadDefaultStopWords(language))
+
+
 def md5_text(text: Column) -> Column:
     return F.md5(F.nullif(text, F.lit("")))
 

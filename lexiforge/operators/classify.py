@@ -22,8 +22,9 @@ class Classifier(Protocol):
     def __call__(self, prompts: list[str]) -> list[str]: ...
 
 
-def prompt_groups(tokens: DataFrame, size: int = GROUP, shards: int = 64) -> DataFrame:
-    """(token, group): at most ``size`` tokens a group, numbered inside hash shards, so no task sees all tokens."""
+def prompt_groups(tokens: DataFrame, size: int = GROUP, shards: int | None = None) -> DataFrame:
+    """(token, group): at most ``size`` tokens a group, numbered inside hash shards (of about 20 000 tokens), so no task sees all tokens."""
+    shards = shards or max(64, -(-tokens.count() // 20_000))
     shard = F.pmod(F.xxhash64("token"), F.lit(shards))
     order = W.partitionBy("shard").orderBy("token")
     numbered = tokens.select("token", shard.alias("shard")).withColumn("k", F.floor((F.row_number().over(order) - 1) / size))

@@ -26,10 +26,14 @@ def duplicate_ids(rows: DataFrame, least: int = MIN_LENGTH) -> DataFrame:
 
 def duplicate_groups(rows: DataFrame, least: int = MIN_LENGTH) -> DataFrame:
     """(hash, count, pattern, authors, sources) of groups of two rows or more; sets are sorted."""
-    grouped = _hashed(rows, least).groupBy("hash").agg(F.count("*").alias("count"), F.array_sort(F.collect_set("author")).alias("authors"), F.array_sort(F.collect_set("source")).alias("sources"))
+    own = _hashed(rows, least)
+    many = own.groupBy("hash").agg(F.count("*").alias("count")).where("count > 1")
+    # Only rows of groups are listed, and each author and source of a group once before the lists are made.
+    listed = lambda c: own.select("hash", c).distinct().join(many.select("hash"), "hash", "left_semi").groupBy("hash").agg(F.array_sort(F.collect_list(c)).alias(f"{c}s"))
+    grouped = many.join(listed("author"), "hash").join(listed("source"), "hash")
     author = F.when(F.size("authors") == 1, "same_author").otherwise("different_author")
     source = F.when(F.size("sources") == 1, "same_source").otherwise("different_source")
-    return grouped.where("count > 1").select("hash", "count", F.concat_ws("_", author, source).alias("pattern"), "authors", "sources")
+    return grouped.select("hash", "count", F.concat_ws("_", author, source).alias("pattern"), "authors", "sources")
 
 
 def duplicate_stats(rows: DataFrame, least: int = MIN_LENGTH) -> DataFrame:

@@ -42,3 +42,10 @@ def fold(labelled: DataFrame) -> DataFrame:
 
 def rule_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("rule").agg(F.count("*").alias("n_tokens"))
+
+
+def reduction(full: DataFrame) -> DataFrame:
+    """(neologisms, dropped, kept, pct): by how much folding shortens the list of new words."""
+    new, gone = F.count_if(F.col("dedup_status") != "not_neologism"), F.count_if(F.col("dedup_status") == "dropped")
+    pct = F.when(new > 0, F.round(gone.cast("double") / new * F.lit(100.0).cast("double"), 2)).otherwise(F.lit(0.0).cast("double"))
+    return full.agg(new.alias("neologisms"), gone.alias("dropped"), (new - gone).alias("kept"), pct.alias("pct"))

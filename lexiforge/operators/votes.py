@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexiforge.functions.labels import LABELS, line_label, line_token, single_label, vote
+from lexiforge.functions.labels import LABELS, line_label, line_token, prompt, single_label, vote
 
 
 def last_labels(log: DataFrame) -> DataFrame:
@@ -28,6 +29,12 @@ def distribution(votes: DataFrame) -> DataFrame:
     return votes.groupBy("label", "vote_type").agg(F.count("*").alias("n_tokens"))
 
 
+def coverage(votes: DataFrame, models: list[str]) -> DataFrame:
+    """(models, n_tokens): how many tokens have a label of how many models."""
+    voted = sum((F.when(F.col(m) != "", 1).otherwise(0) for m in models), F.lit(0))
+    return votes.groupBy(voted.cast("int").alias("models")).agg(F.count("*").alias("n_tokens"))
+
+
 def pairwise_agreement(labels: DataFrame) -> DataFrame:
     """(m1, m2, shared, agree, disagree, pct) for each pair of models, from a self-join on the token."""
     other = labels.select("token", F.col("model").alias("m2"), F.col("label").alias("l2"))
@@ -71,3 +78,29 @@ def overruled(final: DataFrame) -> DataFrame:
     other = F.count_if(F.col("final_label") != "NEOLOGISM")
     pct = F.when(F.count("*") > 0, F.round(other.cast("double") / F.count("*") * F.lit(100.0).cast("double"), 2)).otherwise(F.lit(0.0).cast("double"))
     return final.agg(F.count("*").alias("judged"), other.alias("overruled"), pct.alias("pct"))
+
+
+def verdict_breakdown(final: DataFrame) -> DataFrame:
+    """(final_label, n_tokens, pct) of the judged rows."""
+    total = F.sum(F.sum("one")).over(W.partitionBy())
+    counted = final.withColumn("one", F.lit(1)).groupBy("final_label").agg(F.sum("one").alias("n_tokens"), total.alias("total"))  # four labels
+    return counted.select("final_label", "n_tokens", F.round(F.col("n_tokens").cast("double") / F.col("total") * F.lit(100.0).cast("double"), 2).alias("pct"))
+
+
+def usage(responses: DataFrame) -> DataFrame:
+    """Sums of responses(model, input_tokens, output_tokens, cache_read, cache_written); what a reply doesn't tell is 0."""
+    return responses.groupBy("model").agg(F.count("*").alias("replies"), *[F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in ("input_tokens", "output_tokens", "cache_read", "cache_written")])
+
+
+def parse_verdicts(responses: DataFrame) -> DataFrame:
+    """responses(token, response) to (token, verdict): line by line the label after the colon, or one that stands there among other words; then any in the whole text; UNKNOWN is NONE."""
+    label = single_label(F.col("response"), contained_in_line=True)
+    return responses.select("token", F.when(label.isin(*LABELS), label).otherwise("NONE").alias("verdict"))
+
+
+def verify(votes: DataFrame, judged: DataFrame, index: DataFrame, verifier, keep=lambda df: df) -> DataFrame:
+    """Verdicts (token, verdict) of a verifier, a protocol like a classifier's, on NEOLOGISM rows that aren't judged yet; index(token, contexts)."""
+    from lexiforge.operators.classify import respond
+
+    asked = to_verify(votes, judged).select("token").join(index, "token").select("token", prompt(F.col("token"), F.col("contexts")).alias("prompt"))
+    return parse_verdicts(keep(respond(asked, verifier)).select("token", "response"))

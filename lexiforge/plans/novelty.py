@@ -31,10 +31,11 @@ def novel_tokens(rows: DataFrame, vocab: DataFrame, share: float = 0.02, stop_wo
     rules and the anti-join run on counted tokens, not on occurrences.
     """
     kept = duplicates.drop_duplicates(rows, duplicates.duplicate_ids(rows))
-    each = kept.select(F.explode(F.array_distinct("tokens")).alias("token")).where(is_valid_candidate(F.col("token"), stop_words))
-    df = each.groupBy("token").agg(F.count("*").alias("df"))
+    df = kept.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    # Mentions the count, so that the optimizer leaves the rules above the aggregate: they cost more than counting.
+    valid = df.where(F.when(F.col("df") > 0, is_valid_candidate(F.col("token"), stop_words)))
     least = rows.agg((F.count("*") * F.lit(share).cast("double")).alias("least"))
-    wide = df.crossJoin(F.broadcast(least)).where(F.col("df") >= F.col("least")).select("token", "df")  # one row
+    wide = valid.crossJoin(F.broadcast(least)).where(F.col("df") >= F.col("least")).select("token", "df")  # one row
     return vocabulary.outside(wide, vocab)
 
 
@@ -51,8 +52,11 @@ def candidates(rows: DataFrame, vocab: DataFrame, general: DataFrame, limits: Li
     log = vocabulary.excluded_log(typo, merged)
     joined = first.join(log.select("token", "reason", F.col("detail").alias("other")), "token", "left")
     back = F.col("n") >= limits.min_df
-    status = F.when(F.col("reason").isNotNull() & ~back, F.col("reason")).otherwise(F.col("status"))
-    return joined.select("token", "n", status.alias("status"), F.coalesce("other", "detail").alias("detail"))
+    # What is frequent enough to come back is tested once more, against the most frequent of its own kind.
+    again = fuzzy.second_pass_typos(joined.where(F.col("reason").isNotNull() & back).select("token", "n"), mode, limits.typo_reference, min_count=limits.typo_count)
+    checked = joined.join(again.select("token", F.col("correction").alias("second")), "token", "left")
+    status = F.when(F.col("second").isNotNull(), "typo").when(F.col("reason").isNotNull() & ~back, F.col("reason")).otherwise(F.col("status"))
+    return checked.select("token", "n", status.alias("status"), F.coalesce("second", "other", "detail").alias("detail"))
 
 
 def label(rows: DataFrame, tokens: DataFrame, models: dict[str, classify.Classifier], limits: Limits = Limits()) -> DataFrame:

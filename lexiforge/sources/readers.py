@@ -37,6 +37,24 @@ def csv_rows(spark: SparkSession, paths: str | list[str], columns: list[str], qu
     return spark.read.schema(schema).options(**options).csv(paths).where(F.col(_OVER).isNull()).drop(_OVER)
 
 
+def broken_files(spark: SparkSession, paths: list[str]) -> set[str]:
+    """Files that a parse with quotes can't be trusted with: an odd number of quotes, so one stays open, or bytes that aren't UTF-8."""
+    lines = spark.read.option("ignoreCorruptFiles", True).text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    quotes = F.sum(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    found = lines.groupBy("path").agg((quotes % 2 == 1).alias("open"), F.max(F.contains("value", F.lit("\ufffd"))).alias("bytes"))
+    return {r["path"] for r in found.where("open or bytes").collect()}
+
+
+def read_corpus_safe(spark: SparkSession, paths: list[str], partitions: int | None = None) -> DataFrame:
+    """As ``read_corpus``: files with quotes where these are sound, the others without, each file one way."""
+    broken = broken_files(spark, paths) if paths else set()
+    plain = lambda p: p.removeprefix("file:").lstrip("/")
+    bad = {plain(p) for p in broken}
+    parts = [read_corpus(spark, own, quoted) for quoted in (True, False) if (own := [p for p in paths if (plain(p) not in bad) == quoted])]
+    out = reduce(DataFrame.unionByName, parts) if parts else read_corpus(spark, [])
+    return out.repartition(partitions) if partitions else out
+
+
 def read_corpus(spark: SparkSession, paths: list[str], quoted: bool = True, partitions: int | None = None) -> DataFrame:
     """(id, author, date, source, text, tokens) of CSV files with a text column; others are left out.
 
@@ -129,6 +147,22 @@ def dictionary_titles(spark: SparkSession, path: str, marker: str = "==English==
     return own.select(F.lower(F.trim("title")).alias("token")).distinct()
 
 
+def word_lists(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(token): the words of all list files of a folder, lower-case, once each."""
+    files = corpus_files(spark, folder, pattern)
+    return read_lines(spark, files).select(F.lower("token").alias("token")).distinct() if files else spark.createDataFrame([], "token string")
+
+
+def pending_terms(words: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Words that aren't accepted yet; those that were asked for and rejected are asked for again."""
+    return words.join(accepted.select("token"), "token", "left_anti")
+
+
+def read_replies(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Replies of a dictionary service that were fetched before, a JSON object a line, for ``api_terms``."""
+    return read_jsonl(spark, path, "term string, list array<struct<written_on:string>>")
+
+
 def api_terms(responses: DataFrame, cutoff: str) -> DataFrame:
     """responses(term, list array<struct<written_on>>) to (token) with any definition written before the cutoff; dates that can't be read are ignored."""
     plain = lambda d: F.regexp_replace(F.regexp_replace(F.translate(d["written_on"], "TZ", " "), r"\.\d+", ""), r"\s+$", "")

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexiforge.functions import text as X
-from lexiforge.functions.fuzzy import delete_keys, osa
+from lexiforge.functions.fuzzy import delete_keys, osa_distance
 from lexiforge.functions.labels import single_label
 from lexiforge.functions.rules import reject_reason
 from lexiforge.operators import classify, context, counts, duplicates, fuzzy, inflection, language, votes
@@ -49,6 +49,41 @@ def test_clip(spark, at):
     assert "TOKEN" in got["b"] and "TOKEN" in got["w"] and got["w"].count("...") >= 1
 
 
+def osa(a, b):
+    """Optimal string alignment, by the plain dynamic programme."""
+    before, row = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        earlier, before, row = before, row, [i] + [0] * len(b)
+        for j, y in enumerate(b, 1):
+            row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                row[j] = min(row[j], earlier[j - 2] + 1)
+    return row[-1]
+
+
+def test_osa_distance_equals_the_plain_programme(spark):
+    import random
+
+    rnd = random.Random(3)
+    pairs = [("", ""), ("", "ab"), ("a", "a"), ("ab", "ba"), ("ca", "abc"), ("abcd", "badc"), ("abcde", "badce"), ("é x", "x é")]
+    for _ in range(6000):
+        a = [rnd.choice("abcd") for _ in range(rnd.randint(0, 8))]
+        b = list(a)
+        for _ in range(rnd.randint(0, 3)):
+            k, i = rnd.randrange(4), rnd.randint(0, max(0, len(b) - 1))
+            if k == 0:
+                b.insert(i, rnd.choice("abcd"))
+            elif k == 1 and b:
+                del b[i]
+            elif k == 2 and b:
+                b[i] = rnd.choice("abcd")
+            elif i + 1 < len(b):
+                b[i], b[i + 1] = b[i + 1], b[i]
+        pairs.append(("".join(a), "".join(b)))
+    rows = spark.createDataFrame([*pairs, (None, "a")], "a string, b string").select("a", "b", osa_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert {(r["a"], r["b"], r["d"]) for r in rows} == {(a, b, min(3, osa(a, b))) for a, b in pairs} | {(None, "a", None)}
+
+
 def test_osa_and_delete_keys(spark):
     assert [osa("teh", "the"), osa("ca", "abc"), osa("", "ab"), osa("kitten", "sitting")] == [1, 3, 2, 3]
     rows = spark.createDataFrame([("abc",), ("a",), ("",)], "t string").select(delete_keys(F.col("t")).alias("k")).collect()
