@@ -307,12 +307,25 @@ def typo_levenshtein(spark, d):
     return fuzzy.typos(*_dictionary(spark, d), mode="levenshtein", min_count=50)
 
 
-@query(None)
+_TERMS_ALL = "terms AS (SELECT token AS term, frequency_deduped AS count FROM freq WHERE frequency_deduped >= 40), cand AS (SELECT token FROM freq WHERE frequency_deduped < 40)"
+_TYPO = """b AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY distance, count DESC, term) AS r FROM p),
+    typo AS (SELECT token, term AS correction, CAST(distance AS INT) AS distance FROM b WHERE r = 1 AND term <> token AND distance > 0 AND CAST(distance AS DOUBLE) / length(token) < 0.3 AND count > 50)"""
+_SWAP = "substr(token, {i}, 1) = substr(term, {j} + 1, 1) AND substr(token, {i} + 1, 1) = substr(term, {j}, 1)"
+_START = f"{_SWAP.format(i='i', j='i')} AND left(token, i - 1) = left(term, i - 1)"
+_ONE_SWAP = f"length(token) = length(term) AND len(list_filter(range(1, length(token)), lambda i: {_START} AND substr(token, i + 2) = substr(term, i + 2))) > 0"
+_SWAP_AND_EDIT = f"len(list_filter(range(1, length(token)), lambda i: len(list_filter([i - 1, i, i + 1], lambda j: j > 0 AND j < length(term) AND {_SWAP.format(i='i', j='j')} AND levenshtein(left(token, i - 1), left(term, j - 1)) + levenshtein(substr(token, i + 2), substr(term, j + 2)) <= 1)) > 0)) > 0"
+_TWO_SWAPS = f"length(token) = length(term) AND len(list_filter(range(1, length(token)), lambda i: {_START} AND len(list_filter(range(i + 2, length(token)), lambda k: {_SWAP.format(i='k', j='k')} AND substr(token, i + 2, k - i - 2) = substr(term, i + 2, k - i - 2) AND substr(token, k + 2) = substr(term, k + 2))) > 0)) > 0"
+_OSA = f"""c AS (SELECT c.token, t.term, t.count, levenshtein(c.token, t.term) AS l FROM cand c, terms t WHERE length(c.token) >= 5 AND abs(length(c.token) - length(t.term)) <= 2 AND levenshtein(c.token, t.term) <= 4),
+    q AS (SELECT token, term, count, CASE WHEN l <= 1 THEN l WHEN l = 2 THEN CASE WHEN {_ONE_SWAP} THEN 1 ELSE 2 END WHEN ({_SWAP_AND_EDIT}) OR ({_TWO_SWAPS}) THEN 2 ELSE 3 END AS distance FROM c),
+    p AS (SELECT * FROM q WHERE distance <= 2), {_TYPO}"""
+
+
+@query(f"{_ALL}, {_TERMS_ALL}, {_NEAR} SELECT * FROM typo")
 def typo_levenshtein_all(spark, d):
     return fuzzy.typos(*_dictionary_all(spark, d), mode="levenshtein", min_count=50)
 
 
-@query(None)
+@query(f"{_ALL}, {_TERMS_ALL}, {_OSA} SELECT * FROM typo")
 def typo_osa(spark, d):
     return fuzzy.typos(*_dictionary_all(spark, d), mode="osa", min_count=50)
 
@@ -583,3 +596,6 @@ def inflection_full(spark, d):
 @query(f"{_ALL}, e AS (SELECT DISTINCT u.id, u.token FROM uniq u WHERE NOT EXISTS (SELECT 1 FROM dup WHERE dup.id = u.id)), k AS (SELECT token, count(*) AS df FROM e WHERE {_reject_sql('token')} IS NULL GROUP BY token) SELECT token, df FROM k WHERE df >= (SELECT count(*) * CAST(0.02 AS DOUBLE) FROM corpus) AND token NOT IN (SELECT token FROM vocab)")
 def novel_tokens(spark, d):
     return novelty.novel_tokens(C.corpus(spark, d), C.vocabulary(spark, d))
+
+
+from lexiforge.plans import roundtrips  # noqa: E402, F401  registers the queries of readers, sinks and reports

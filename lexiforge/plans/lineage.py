@@ -4,13 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if that is unset, as in tests."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = f"file://{tempfile.mkdtemp(prefix='lexiforge-')}"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df from a checkpoint in spark.checkpoint.dir, or in a folder of our own if that is unset: computed once, and safe from lost executors."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        path = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lexiforge-')}"
-        spark.sparkContext.setCheckpointDir(path)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

@@ -280,3 +280,20 @@ def test_osa_is_a_near_metric(a, b):
 
 def test_detector_frame():
     assert list(language.stop_word_detector({"x": ("a",)})(pd.Series(["a b", None]))["conf"]) == [0.5, 0.0]
+
+
+SHAPE_EXAMPLES = {
+    "cluster": "aarrgh", "urgh": "urgh", "argh": "arrgh", "woah": "wooaah", "run": "yesss", "unit": "lalala", "abab": "ababab", "haha": "hahah", "ahha": "ahhah", "bahaha": "bahahha",
+    "ugh": "eww", "yeah": "yeahs", "yes": "yees", "oh": "ohs", "mm": "mmh", "hm": "hmm", "uh": "uhm", "not_alpha": "a1b", "length": "ab", "tripled_start": "aaab", "stop_word": "the", "filler": "lorem", "no_vowel": "rhythm", "double_vowel": "eelgrass",
+}
+
+
+def test_rules_by_literal_examples(spark):
+    from lexiforge.functions.rules import reject_reason
+
+    words = [*SHAPE_EXAMPLES.values(), "covfefe", "selfie", "doomscroll", "hygge"]
+    got = {r["t"]: r["r"] for r in spark.createDataFrame([(w,) for w in words], "t string").select("t", reject_reason(F.col("t")).alias("r")).collect()}
+    assert all(got[w] for w in SHAPE_EXAMPLES.values()), {w: got[w] for w in SHAPE_EXAMPLES.values() if not got[w]}
+    assert [got[w] for w in ("covfefe", "selfie", "doomscroll", "hygge")] == [None] * 4
+    named = {name: got[w] for name, w in SHAPE_EXAMPLES.items()}
+    assert {n for n, r in named.items() if n == r} >= {"urgh", "woah", "unit", "haha", "yes", "not_alpha", "length", "tripled_start", "stop_word", "filler", "no_vowel", "double_vowel"}, named
