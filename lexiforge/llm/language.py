@@ -92,11 +92,11 @@ def document_frequency(docs: DataFrame, bits: int = BITS) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """About ``per_language`` texts of each language, chosen by a hash of the id and in an order that mixes languages."""
+    """About ``per_language`` texts of each language, chosen by a hash of id and text, each text once, in an order that mixes languages."""
     counts = docs.groupBy("lang").agg(F.count("*").alias("n"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
     picked = docs.join(bounded(counts), "lang").where(draw < F.least(F.lit(1.0), per_language / F.col("n")))
-    rows = picked.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).collect()
+    rows = picked.select("lang", "text").distinct().select("lang", "text", F.xxhash64("text").alias("h")).collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["h"], r["text"]))]
 
 

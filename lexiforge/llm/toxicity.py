@@ -9,7 +9,8 @@ in no toxic one; a match inside one does not count. The sum of weights is divide
 and mapped to 0..1 by a logistic curve fitted to the same sample.
 
 Null or empty text: no match, the score of that. Without labels of both kinds every score is the share of toxic
-ones (0 without any). Repeated rows get equal scores; repeated labels count as often as they occur. Only
+ones (0 without any). Repeated rows get equal scores; repeated labels count once, and of rows that share an id the
+least text is learnt from; a null doc_id has no label. Only
 ``doc_id``, ``text`` and the labels' ``toxic`` are read, so further columns cannot clash.
 """
 
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm.common import bucket_of, table, trimmed
+from lexiforge.llm.common import bounded, bucket_of, table, trimmed
 
 SAMPLE_PER_LABEL = 3000
 MIN_STEM, MAX_STEM = 3, 12
@@ -178,14 +179,15 @@ def fit(texts: list[str | None], labels: list[int]) -> Lexicon:
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> tuple[list[str | None], list[int]]:
     """About ``per_label`` labelled texts of either kind, chosen by a hash of the id; labels are 0 or 1, others are left out."""
-    known = labels.where("toxic in (0, 1)").select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).where(bucket_of("id", 5) != 0)
+    known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).where(bucket_of("id", 5) != 0).distinct()
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for y, n in counts.items():
         share = F.when(F.col("y") == y, min(1.0, per_label / n)).otherwise(share)
     draw = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 20)) / float(1 << 20)
     picked = known.where(draw < share)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("id", "text", "y").collect()
+    own = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    rows = own.join(bounded(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text")).collect()  # one text an id
     rows.sort(key=lambda r: (r["id"], r["text"] or ""))
     return [r["text"] for r in rows], [r["y"] for r in rows]
 

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -51,6 +52,43 @@ def test_query(spark):
 
 
 def test_every_language_is_in_the_sample(spark):
-    rows = [(i, "text", f"l{i % 1100}") for i in range(1200)]
+    rows = [(i, f"text {i}", f"l{i % 1100}") for i in range(1200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {lang for _, lang in training_sample(docs)} == {f"l{i}" for i in range(1100)}
+
+
+def plain_features(text):
+    """Hashed n-grams of a text, one at a time, with whole numbers of any size."""
+    def mixed(x):
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = (x ^ x >> shift) * by % (1 << 64)
+        return x
+
+    codes = [ord(c) for c in f" {text.lower()} "]
+    out = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(codes) - n + 1):
+            h = n
+            for c in codes[i : i + n]:
+                h = (h * 0x1F123BB59E3779B1 + c) % (1 << 64)
+            out[mixed(h) >> 48] += 1
+    return out
+
+
+def test_predictions_equal_brute_force(spark):
+    docs = spark.createDataFrame([(i, t, y) for i, t, y in corpus(200, 6)], "doc_id long, text string, lang string")
+    model = learn(docs)
+    fresh = [(i, t) for i, t, _ in corpus(40, 7)] + [(90, "the und que"), (91, "ZZZ"), (91, "ZZZ"), (92, "ñ"), (93, "the ing " * 30_000)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in predict(spark.createDataFrame(fresh, "doc_id long, text string"), model).collect()}
+    for i, text in fresh:
+        values = {f: (1 + math.log(c)) * model.idf[f] for f, c in plain_features(text).items()}
+        norm = math.sqrt(sum(v * v for v in values.values()))
+        logits = [sum(v / norm * model.weights[model.rows[f]][k] for f, v in values.items()) + model.bias[k] for k in range(3)]
+        odds = [math.exp((x - max(logits)) / model.temperature) for x in logits]
+        assert got[i][0] == model.languages[odds.index(max(odds))] and abs(got[i][1] - max(odds) / sum(odds)) < 1e-9
+
+
+def test_rows_without_an_id_are_drawn_one_by_one(spark):
+    rows = [(None, f"text number {i}", "en") for i in range(4000)] + [(None, "the same", "en")] * 4000
+    got = training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=400)
+    assert 100 < len(got) < 350
