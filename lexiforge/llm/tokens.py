@@ -69,7 +69,7 @@ class ByteBpe:
         self.mark = re.compile("(" + "|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True)) + ")") if added else None
 
     def encode(self, text: str) -> np.ndarray:
-        if self.mark is not None and self.mark.search(text):
+        if any(c in text for c in self.added):
             return np.concatenate([self.added[x] if i % 2 else self._plain(x) for i, x in enumerate(self.mark.split(text))])
         return self._plain(text)
 
