@@ -284,22 +284,17 @@ def dictionary_merge(spark, d):
 
 # Typos and run-together words
 
-_TERMS = "terms AS (SELECT token AS term, frequency_deduped AS count FROM freq WHERE frequency_deduped >= 40), cand AS (SELECT token FROM freq WHERE frequency_deduped BETWEEN 3 AND 39)"
+_TERMS = "terms AS (SELECT token AS term, frequency_deduped AS count FROM freq WHERE frequency_deduped >= 40), cand AS (SELECT token FROM freq WHERE frequency_deduped < 40)"
 _NEAR = """p AS (SELECT c.token, t.term, t.count, levenshtein(c.token, t.term) AS distance FROM cand c, terms t WHERE length(c.token) >= 5 AND abs(length(c.token) - length(t.term)) <= 2 AND levenshtein(c.token, t.term) <= 2),
     b AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY distance, count DESC, term) AS r FROM p),
     typo AS (SELECT token, term AS correction, CAST(distance AS INT) AS distance FROM b WHERE r = 1 AND term <> token AND distance > 0 AND CAST(distance AS DOUBLE) / length(token) < 0.3 AND count > 50)"""
 
 
 def _dictionary(spark, d):
+    """Every token below the dictionary's threshold, those found only in duplicates too, and the terms that reach it."""
     freq = C.frequencies(spark, d)
     terms = freq.where("frequency_deduped >= 40").select(F.col("token").alias("term"), F.col("frequency_deduped").alias("count"))
-    return freq.where("frequency_deduped BETWEEN 3 AND 39").select("token"), terms
-
-
-def _dictionary_all(spark, d):
-    """Every token below the dictionary's threshold, those found only in duplicates too; the SQL takes 3 to 39 documents."""
-    freq = C.frequencies(spark, d)
-    return freq.where("frequency_deduped < 40").select("token"), _dictionary(spark, d)[1]
+    return freq.where("frequency_deduped < 40").select("token"), terms
 
 
 @query(f"{_ALL}, {_TERMS}, {_NEAR} SELECT * FROM typo")
@@ -307,7 +302,6 @@ def typo_levenshtein(spark, d):
     return fuzzy.typos(*_dictionary(spark, d), mode="levenshtein", min_count=50)
 
 
-_TERMS_ALL = "terms AS (SELECT token AS term, frequency_deduped AS count FROM freq WHERE frequency_deduped >= 40), cand AS (SELECT token FROM freq WHERE frequency_deduped < 40)"
 _TYPO = """b AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY distance, count DESC, term) AS r FROM p),
     typo AS (SELECT token, term AS correction, CAST(distance AS INT) AS distance FROM b WHERE r = 1 AND term <> token AND distance > 0 AND CAST(distance AS DOUBLE) / length(token) < 0.3 AND count > 50)"""
 _SWAP = "substr(token, {i}, 1) = substr(term, {j} + 1, 1) AND substr(token, {i} + 1, 1) = substr(term, {j}, 1)"
@@ -320,14 +314,9 @@ _OSA = f"""c AS (SELECT c.token, t.term, t.count, levenshtein(c.token, t.term) A
     p AS (SELECT * FROM q WHERE distance <= 2), {_TYPO}"""
 
 
-@query(f"{_ALL}, {_TERMS_ALL}, {_NEAR} SELECT * FROM typo")
-def typo_levenshtein_all(spark, d):
-    return fuzzy.typos(*_dictionary_all(spark, d), mode="levenshtein", min_count=50)
-
-
-@query(f"{_ALL}, {_TERMS_ALL}, {_OSA} SELECT * FROM typo")
+@query(f"{_ALL}, {_TERMS}, {_OSA} SELECT * FROM typo")
 def typo_osa(spark, d):
-    return fuzzy.typos(*_dictionary_all(spark, d), mode="osa", min_count=50)
+    return fuzzy.typos(*_dictionary(spark, d), mode="osa", min_count=50)
 
 
 @query(f"{_ALL}, terms AS (SELECT token AS term, frequency_deduped AS count FROM freq WHERE frequency_deduped >= 30), cand AS (SELECT token FROM freq WHERE frequency_deduped BETWEEN 10 AND 29), {_NEAR} SELECT * FROM typo")
@@ -368,7 +357,7 @@ def reintegrate(spark, d):
 
 # Contexts
 
-_POOL = """cand AS (SELECT token FROM freq WHERE frequency_deduped BETWEEN 12 AND 40 AND length(token) >= 5),
+_POOL = """cand AS (SELECT token FROM freq WHERE frequency_deduped >= 12),
     pool AS (SELECT u.token, c.id, c.source, c.text, len(c.tokens) AS tc FROM uniq u JOIN cand USING (token) JOIN corpus c USING (id))"""
 _QUOTA = """a AS (SELECT *, max(tc >= 15) OVER (PARTITION BY token) AS anyrich FROM pool), b AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY tc DESC, id) AS rt FROM a WHERE NOT anyrich OR tc >= 15),
     g AS (SELECT *, count(*) OVER (PARTITION BY token, source) AS n, min(rt) OVER (PARTITION BY token, source) AS f, row_number() OVER (PARTITION BY token, source ORDER BY rt) AS rs FROM b),
@@ -379,44 +368,23 @@ _QUOTA = """a AS (SELECT *, max(tc >= 15) OVER (PARTITION BY token) AS anyrich F
 
 
 def _cand(spark, d):
-    return C.frequencies(spark, d).where("frequency_deduped BETWEEN 12 AND 40").where(F.length("token") >= 5).select("token")
+    return C.frequencies(spark, d).where("frequency_deduped >= 12").select("token")
 
 
 def _pool(spark, d):
     return context.contexts_of(C.corpus(spark, d), _cand(spark, d))
 
 
-# The SQL above holds the band of 12 to 40 documents; the _all queries take every token from 12 documents on and have no SQL.
-
-
-def _cand_all(spark, d):
-    return C.frequencies(spark, d).where("frequency_deduped >= 12").select("token")
-
-
-def _pool_all(spark, d):
-    return context.contexts_of(C.corpus(spark, d), _cand_all(spark, d))
-
-
 @query(f"{_ALL}, {_POOL} SELECT token, id, source, tc FROM pool")
 def context_pool(spark, d):
     return _pool(spark, d)
 
 
-@query(None)
-def context_pool_all(spark, d):
-    return _pool_all(spark, d)
-
-
 @query(f"{_ALL}, {_POOL}, {_QUOTA} SELECT token, id, source, tc, CAST(place AS INT) AS place FROM placed WHERE place <= 10")
 def context_quota(spark, d):
     return context.quota_pool(_pool(spark, d))
 
 
-@query(None)
-def context_quota_all(spark, d):
-    return context.quota_pool(_pool_all(spark, d))
-
-
 def _diverse_sql(qualify: int) -> str:
     return f"""{_ALL}, {_POOL}, {_QUOTA}, c1 AS (SELECT *, row_number() OVER (PARTITION BY token, md5(text) ORDER BY place) AS d1 FROM placed WHERE place <= 10),
     c2 AS (SELECT *, count(*) OVER (PARTITION BY token, source) AS n, min(place) OVER (PARTITION BY token, source) AS f FROM c1 WHERE d1 = 1),
@@ -426,8 +394,8 @@ def _diverse_sql(qualify: int) -> str:
     c7 AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY qual DESC, sr, rs) AS k FROM c6) SELECT token, id, source, CAST(k AS INT) AS place FROM c7 WHERE k <= 3"""
 
 
-def _diverse(spark, d, qualify, pool=_pool):
-    placed = context.attach_texts(context.quota_pool(pool(spark, d)), C.corpus(spark, d), limit=None)
+def _diverse(spark, d, qualify):
+    placed = context.attach_texts(context.quota_pool(_pool(spark, d)), C.corpus(spark, d), limit=None)
     return context.diverse(placed, qualify=qualify, limit=None).drop("text")
 
 
@@ -436,30 +404,14 @@ def context_diverse3(spark, d):
     return _diverse(spark, d, 10)
 
 
-@query(None)
-def context_diverse3_all(spark, d):
-    return _diverse(spark, d, 10, _pool_all)
-
-
 @query(_diverse_sql(2))
 def context_diverse3_many_sources(spark, d):
     return _diverse(spark, d, 2)
 
 
-@query(None)
-def context_diverse3_many_sources_all(spark, d):
-    return _diverse(spark, d, 2, _pool_all)
-
-
 @query(f"{_ALL}, {_POOL}, {_QUOTA}, p AS (SELECT token, count(*) AS n FROM placed WHERE place <= 10 GROUP BY token) SELECT count(n) AS with_contexts, count(*) FILTER (WHERE n IS NULL) AS without, CAST(coalesce(sum(n), 0) AS BIGINT) AS contexts FROM (SELECT DISTINCT token FROM freq WHERE frequency_deduped >= 12) t LEFT JOIN p USING (token)")
 def context_totals(spark, d):
-    tokens = C.frequencies(spark, d).where("frequency_deduped >= 12").select("token")
-    return context.context_totals(tokens, context.quota_pool(_pool(spark, d)))
-
-
-@query(None)
-def context_totals_all(spark, d):
-    return context.context_totals(_cand_all(spark, d), context.quota_pool(_pool_all(spark, d)))
+    return context.context_totals(_cand(spark, d), context.quota_pool(_pool(spark, d)))
 
 
 # Languages

@@ -101,7 +101,7 @@ def test_typos_of_rare_tokens(spark, tmp_path):
     """One document holds a typo, a document and its exact copy another; the right word is in 60."""
     rows = [(i, f"example {i}", "s") for i in range(60)] + [(60, "exapmle once", "s"), (61, "exampel twice here", "s"), (62, "exampel twice here", "s")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    for name, distance in (("typo_osa", 1), ("typo_levenshtein_all", 2)):
+    for name, distance in (("typo_osa", 1), ("typo_levenshtein", 2)):
         got = {(r["token"], r["correction"], r["distance"]) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
         assert got == {("exapmle", "example", distance), ("exampel", "example", distance)}
 
@@ -168,10 +168,10 @@ def test_contexts_of_frequent_and_short_tokens(spark, tmp_path):
     rows = [(i, f"abc frequent only{'x' * (i % 26)} {'word ' * 15}{i}", f"s{i % 2}") for i in range(50)]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     get = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
-    assert {r["token"] for r in get("context_pool_all")} == {"abc", "frequent", "word"} and len(get("context_pool_all")) == 150
-    assert len(get("context_quota_all")) == 30
-    assert len(get("context_diverse3_all")) == len(get("context_diverse3_many_sources_all")) == 9
-    assert [tuple(r) for r in get("context_totals_all")] == [(3, 0, 30)]
+    assert {r["token"] for r in get("context_pool")} == {"abc", "frequent", "word"} and len(get("context_pool")) == 150
+    assert len(get("context_quota")) == 30
+    assert len(get("context_diverse3")) == len(get("context_diverse3_many_sources")) == 9
+    assert [tuple(r) for r in get("context_totals")] == [(3, 0, 30)]
 
 
 def test_partitions_do_not_matter_and_nothing_is_lost(spark):
