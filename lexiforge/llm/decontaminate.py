@@ -1,13 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 The benchmark is taken in blocks of bounded size. For each, terms are the block's words, weighted by TF-IDF with
-document frequencies over all documents; one pass counts these for as many blocks as fit GROUP_BYTES (thousands of
-items), and one more searches for all of them. A randomised singular value decomposition of the matrix of passages
-(windows of a bounded sample of documents, and the items, weighted as much) gives the latent space: tasks add up
-the products of their passages, and only these small matrices meet. Every window of every document is projected
-and compared with the items by cosine; candidates are verified by the longest common subsequence of words with
-the item in the words around, and, where that alone leaves doubt as in a paraphrase, by the item's answer, its
-last line or sentence, which must be there too.
+document frequencies over all documents; one pass splits all texts for as many blocks as fit GROUP_BYTES (thousands
+of items) and stores the numbers of their words, which the passes after it read. A randomised singular value
+decomposition, in one pass, of the matrix of passages (the windows of all documents, and the items, weighted as
+much) gives the latent space of a block: tasks add up the products of their passages, and only these small
+matrices meet. Every window of every document is projected and compared with the items by cosine; candidates are
+verified by the longest common subsequence of words with the item in the words around, and, where that alone
+leaves doubt as in a paraphrase, by the item's answer, its last line or sentence, which must be there too.
 
 Null or empty texts, and documents without a word of the block, match nothing. Items without a word are left
 out; items of fewer than MIN_ITEM words must be there whole. Rows that share a doc_id are judged one by one and
@@ -18,23 +18,25 @@ an empty result. Only ``doc_id``, ``text``, ``item_id`` are read, so further col
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.llm.common import bounded, drop, fresh_names, save, table, trimmed
 
 BLOCK_ITEMS = 256
-SAMPLE_DOCS = 10_000
 CHUNK, CHUNKS = 16, 3
 RANK, OVER = 256, 8
 MIN_COSINE = 0.45
 MIN_LCS, PARAPHRASE_LCS, MIN_ANSWER = 0.7, 0.5, 0.8
 MIN_ITEM = 8
-ROWS = 512
+ROWS, FAN = 512, 32
+SLICE_WORDS, FLUSH_PASSAGES = 1 << 20, 1 << 18
+GRAM_BYTES = 32 << 20
 GROUP_BYTES = 128 << 20
 _MARKS = b".,;:!?()[]{}\"'*-"
 
@@ -73,6 +75,7 @@ class Space:
         self.terms = {w: n for n, w in enumerate(sorted({w for _, own, _ in self.items for w in own}))}
         self.item_ids = [self.ids(w) for _, w, _ in self.items]
         self.answers = [[self.terms.get(w, -3) for w in own] for _, _, own in self.items]  # -3 equals no word of a text
+        self.places = np.zeros(0, dtype=np.int64)  # term of each number of a stored word
         self.seen = np.zeros(len(self.terms) + 1, dtype=bool)
         self.idf = np.ones(len(self.terms), dtype=np.float32)
         self.basis = self.targets = np.zeros((len(self.terms), 0), dtype=np.float32)
@@ -98,19 +101,27 @@ class Space:
             out[chunk[first]] = np.add.reduceat(of_term[ids[at]], first, axis=0)
         return out
 
-    def passages(self, texts: Iterator[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(terms, unit TF-IDF weights) of windows that don't overlap."""
-        for text in texts:
-            ids = self.ids(words_of(text))
-            for a in range(0, len(ids), CHUNK * CHUNKS):
-                own, n = np.unique(ids[a : a + CHUNK * CHUNKS], return_counts=True)
-                n = n[own >= 0] * self.idf[own[own >= 0]]
-                if len(n):
-                    yield own[own >= 0], (n / np.linalg.norm(n)).astype(np.float32)
+    def passages(self, texts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(passage, term, unit TF-IDF weight) of each entry, in this order, of windows that don't overlap; some SLICE_WORDS at once."""
+        size, keys, row, n = len(self.terms), [], 0, 0
+        for ids in chain(texts, [None]):
+            if ids is not None:
+                at = np.flatnonzero(ids >= 0)
+                keys.append((row + at // (CHUNK * CHUNKS)) * size + ids[at])
+                row += -(-len(ids) // (CHUNK * CHUNKS))
+                n += len(at)
+            if n and (ids is None or n >= SLICE_WORDS):
+                key, count = np.unique(np.concatenate(keys), return_counts=True)
+                rows, own = np.divmod(key, size)
+                weights = count * self.idf[own]
+                yield rows, own, (weights / np.sqrt(np.bincount(rows, weights**2))[rows]).astype(np.float32)
+                keys, row, n = [], 0, 0
 
     def search(self, text: str | None) -> list[tuple[int, float, float, float, int, int]]:
+        return self.find(self.ids(words_of(text)))
+
+    def find(self, ids: np.ndarray) -> list[tuple[int, float, float, float, int, int]]:
         """(number of the item, cosine, LCS share, answer share, first, last word) of each verified item, the best place of each."""
-        ids = self.ids(words_of(text))
         if not np.any(ids >= 0):
             return []
         chunks = self.chunk_sums(ids, self.basis)
@@ -142,86 +153,135 @@ class Space:
         return list(best.values())
 
 
-def _sum_matrices(parts: DataFrame, rows: int, columns: int, by: int) -> np.ndarray:
-    """Sum of float32 matrices that tasks sent in blocks of ``by`` rows."""
+def _triangle_times(pairs: np.ndarray, probe: np.ndarray) -> np.ndarray:
+    """Product of a symmetric matrix, of which pairs holds the lower triangle by rows, and probe."""
+    size, out = len(probe), np.zeros_like(probe)
+    for a in range(0, size, ROWS):
+        b = min(a + ROWS, size)
+        rows = np.zeros((b - a, b), dtype=np.float32)
+        for j in range(a, b):
+            rows[j - a, : j + 1] = pairs[j * (j + 1) // 2 : j * (j + 1) // 2 + j + 1]
+        out[a:b] += rows @ probe[:b]
+        rows[np.arange(b - a), np.arange(a, b)] = 0
+        out[:b] += rows.T @ probe[a:b]
+    return out
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, dtype=np.float32) for x in pdf["data"]], axis=0, dtype=np.float64).astype(np.float32)
-        return pd.DataFrame({"part": pdf["part"][:1], "data": [total.tobytes()]})
 
+def gram_times(passages: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], probe: np.ndarray, limit: int = GRAM_BYTES) -> np.ndarray:
+    """A'A probe, where A has the passages as rows.
+
+    A'A is added up pair by pair of terms if its triangle takes no more than ``limit`` bytes; else the passages' products are, which
+    gives the same but for rounding and takes some ten times as long.
+    """
+    size, out = len(probe), np.zeros_like(probe)
+    if size * (size + 1) * 2 > limit:
+        for rows, terms, weights in passages:
+            first = np.flatnonzero(np.diff(rows, prepend=-1))
+            for a in range(0, len(first), ROWS):
+                b = first[a + ROWS] if a + ROWS < len(first) else len(rows)
+                begin, own, weight = first[a : a + ROWS], terms[first[a] : b], weights[first[a] : b, None]
+                products = np.repeat(np.add.reduceat(probe[own] * weight, begin - begin[0]), np.diff(begin, append=b), axis=0) * weight
+                order = np.argsort(own, kind="stable")
+                start = np.flatnonzero(np.diff(own[order], prepend=-1))
+                out[own[order][start]] += np.add.reduceat(products[order], start)
+        return out
+    pairs, held = np.zeros(size * (size + 1) // 2, dtype=np.float32), 0
+    for rows, terms, weights in passages:
+        begin, at, off = terms * (terms + 1) // 2, np.arange(len(rows)), 0
+        while len(at):
+            np.add.at(pairs, begin[at + off] + terms[at], weights[at + off] * weights[at])
+            off += 1
+            at = at[at + off < len(rows)]
+            at = at[rows[at + off] == rows[at]]
+        held += int(rows[-1]) + 1
+        if held >= FLUSH_PASSAGES:  # sums of float32 stay so small that none of what is added is lost
+            out += _triangle_times(pairs, probe)
+            pairs[:], held = 0, 0
+    return out + _triangle_times(pairs, probe)
+
+
+_PART = "sender long, part long, data binary"
+
+
+def _sum_matrices(parts: DataFrame, senders: int, rows: int, columns: int, by: int) -> np.ndarray:
+    """Sum of float32 matrices that ``senders`` tasks sent in blocks of ``by`` rows, FAN of them at once."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(len(pdf["data"].iloc[0]) // 4, dtype=np.float64)
+        for x in pdf["data"]:
+            total += np.frombuffer(x, dtype=np.float32)
+        return pd.DataFrame({"sender": pdf["sender"][:1] // FAN, "part": pdf["part"][:1], "data": [total.astype(np.float32).tobytes()]})
+
+    while senders > 1:
+        parts = parts.groupBy("part", F.floor(F.col("sender") / FAN)).applyInPandas(add, _PART)
+        senders = -(-senders // FAN)
     out = np.zeros((rows, columns), dtype=np.float32)
-    for r in parts.groupBy("part").applyInPandas(add, "part long, data binary").collect():
-        out[r["part"] * by : (r["part"] + 1) * by] = np.frombuffer(bytes(r["data"]), dtype=np.float32).reshape(-1, columns)
+    for r in parts.collect():
+        out[r["part"] * by : (r["part"] + 1) * by] += np.frombuffer(bytes(r["data"]), dtype=np.float32).reshape(-1, columns)
     return out
 
 
-def document_frequency(docs: DataFrame, spaces: list[Space]) -> tuple[dict[bytes, int], int]:
-    """Documents that hold each term of any of the spaces, and documents, over all rows, in one pass."""
+def encoded(docs: DataFrame, spaces: list[Space]) -> tuple[DataFrame, str, type]:
+    """Stored: doc_id, th (hash of the text), ids, which number each word of the text by the terms of all spaces, others as their count; type of a number."""
     terms = {w: n for n, w in enumerate(sorted({w for s in spaces for w in s.terms}))}
     size = len(terms)
+    kind = np.uint16 if size < 1 << 16 else np.int32
+    for space in spaces:
+        space.places = np.full(size + 1, -1, dtype=np.int64)
+        space.places[[terms[w] for w in space.terms]] = np.arange(len(space.terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = map(words_of, batch.column("text").to_pylist())
+            ids = [np.fromiter(map(terms.get, own, repeat(size)), dtype=kind, count=len(own)).tobytes() for own in words]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(ids, pa.binary())], ["doc_id", "th", "ids"])
+
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return *save(rows.mapInArrow(trimmed(run), "doc_id long, th long, ids binary"), "words"), kind
+
+
+def document_frequency(stored: DataFrame, kind: type, size: int) -> tuple[np.ndarray, int, int]:
+    """Documents that hold each of ``size`` terms; documents; tasks that read them: over all rows, in one pass."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size + 1, dtype=np.int64)
         held = np.zeros(size + 1, dtype=bool)
         for batch in batches:
-            for text in batch["text"]:
-                words = words_of(text)
+            for ids in batch["ids"]:
                 held[:] = False
-                held[np.fromiter(map(terms.get, words, repeat(size)), dtype=np.int64, count=len(words))] = True
+                held[np.frombuffer(ids, dtype=kind)] = True
                 held[size] = True
                 total += held
         at = np.flatnonzero(total)
         yield pd.DataFrame({"term": at, "n": total[at]})
 
-    got = docs.select(F.col("text").cast("string")).mapInPandas(trimmed(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    sent = stored.select("ids").mapInPandas(trimmed(count), "term long, n long")
+    got = sent.withColumn("sender", F.spark_partition_id()).groupBy("term").agg(F.sum("n").alias("n"), F.max("sender").alias("sender")).collect()
     out = np.zeros(size + 1, dtype=np.int64)
     for r in got:
         out[r["term"]] = r["n"]
-    return {w: int(out[n]) for w, n in terms.items()}, int(out[size])
+    return out[:size], int(out[size]), max((r["sender"] + 1 for r in got), default=1)
 
 
-def sample_of(docs: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[DataFrame, str]:
-    """About ``sample`` texts, chosen by a hash over all rows, as a stored table of few files."""
-    share = min(1.0, sample / max(docs.count(), 1))
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(6)), F.lit(1 << 24)) / float(1 << 24)
-    return save(docs.where(draw < share).select(F.col("text").cast("string")).repartition(8), "sample")
-
-
-def fit(picked: DataFrame, space: Space, rank: int = RANK) -> None:
-    """The latent space by a randomised singular value decomposition of the sample's passages and the items."""
+def fit(stored: DataFrame, kind: type, senders: int, space: Space, rank: int = RANK) -> None:
+    """The latent space by a randomised singular value decomposition of all documents' passages and the items."""
     size = len(space.terms)
     k = min(rank, size)
     width = min(k + OVER, size)
-    probe = np.random.default_rng(7).standard_normal((size, width)).astype(np.float32)
+    probe = np.linalg.qr(np.random.default_rng(7).standard_normal((size, width)))[0].astype(np.float32)
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, n = np.zeros((size, width), dtype=np.float32), 0
-        for batch in batches:
-            for terms, weights in space.passages(batch["text"]):
-                out[terms] += np.outer(weights, weights @ probe[terms])
-                n += 1
-        yield pd.DataFrame({"part": [-1], "data": [np.array([n], dtype=np.float32).tobytes()]})
+        texts = (space.places[np.frombuffer(ids, dtype=kind)] for batch in batches for ids in batch["ids"])
+        out = gram_times(space.passages(texts), probe)
         yield pd.DataFrame({"part": np.arange(-(-size // ROWS)), "data": [out[a : a + ROWS].tobytes() for a in range(0, size, ROWS)]})
 
     items = space.item_rows()
-    sent = picked.mapInPandas(products, "part long, data binary")
-    y = _sum_matrices(sent.where("part >= 0"), size, width, ROWS)
-    weight = max(1.0, float(np.trace(probe.T @ y)) / max(1e-9, float(np.sum((items @ probe) ** 2))))  # the items weigh as much as the passages
+    sent = stored.select("ids").mapInPandas(trimmed(products), "part long, data binary").select(F.spark_partition_id().cast("long").alias("sender"), "part", "data")
+    y = _sum_matrices(sent, senders, size, width, ROWS).astype(np.float64)
+    weight = max(1.0, float(np.sum(probe * y)) / max(1e-9, float(np.sum((items @ probe) ** 2))))  # the items weigh as much as the passages
     y += weight * (items.T @ (items @ probe))
-    q = np.linalg.qr(y)[0].astype(np.float32)
-
-    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = np.zeros((width, width), dtype=np.float64)
-        for batch in batches:
-            rows = [weights @ q[terms] for terms, weights in space.passages(batch["text"])]
-            if rows:
-                out += np.array(rows).T @ np.array(rows)
-        yield pd.DataFrame({"part": [0], "data": [out.astype(np.float32).tobytes()]})
-
-    g = _sum_matrices(picked.mapInPandas(gram, "part long, data binary"), width, width, width)
-    own = items @ q
-    values, vectors = np.linalg.eigh(g + weight * (own.T @ own))
-    latent = q @ vectors[:, ::-1][:, :k].astype(np.float32)
+    latent = np.linalg.svd(y, full_matrices=False)[0][:, :k].astype(np.float32)
     targets = items @ latent
     space.basis = np.ascontiguousarray(latent * space.idf[:, None]).astype(np.float32)
     space.targets = np.ascontiguousarray((targets / np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-9)).T.astype(np.float32))
@@ -230,29 +290,27 @@ def fit(picked: DataFrame, space: Space, rank: int = RANK) -> None:
 _MATCH = "doc_id long, th long, item_id long, cosine double, lcs_share double, answer_share double, first_word long, last_word long"
 
 
-def _search(docs: DataFrame, spaces: list[Space]) -> DataFrame:
+def _search(stored: DataFrame, kind: type, spaces: list[Space]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(doc, th, space.items[n][0], *rest) for doc, th, text in zip(batch["doc_id"], batch["th"], batch["text"], strict=True) for space in spaces for n, *rest in space.search(text)]
+            texts = (np.frombuffer(ids, dtype=kind) for ids in batch["ids"])
+            rows = [(doc, th, space.items[n][0], *rest) for doc, th, ids in zip(batch["doc_id"], batch["th"], texts, strict=True) for space in spaces for n, *rest in space.find(space.places[ids])]
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in _MATCH.split(", ")])
             yield out.astype({"doc_id": "Int64"})
 
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("th"), text.alias("text")).mapInPandas(trimmed(run), _MATCH)
+    return stored.mapInPandas(trimmed(run), _MATCH)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS, sample: int = SAMPLE_DOCS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """doc_id, th (hash of the text), item_id, cosine, lcs_share, answer_share, first_word, last_word (of the words compared).
 
-    The documents are read once for the sample, and twice for each group of blocks whose spaces have ``group_bytes``.
+    The documents are read once for each group of blocks whose spaces have ``group_bytes``; the numbers of their words are
+    read once to count, once for each space to fit and once to search.
     """
     spark = docs.sparkSession
     known = benchmark.where("text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     n_items = known.count()
     found = spark.createDataFrame([], _MATCH)
-    if not n_items:
-        return found
-    picked, path = sample_of(docs, sample)
     blocks, b = -(-n_items // block_items), 0
     while b < blocks:
         spaces: list[Space] = []
@@ -261,22 +319,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEM
             space = Space(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
             spaces += [space] if space.items else []
             b += 1
-        df, n_docs = document_frequency(docs, spaces) if spaces else ({}, 0)
+        if not spaces:
+            continue
+        stored, path, kind = encoded(docs, spaces)
+        df, n_docs, senders = document_frequency(stored, kind, len(spaces[0].places) - 1)
         for space in spaces:
-            own = np.fromiter((df[w] for w in space.terms), dtype=np.float64, count=len(space.terms))
+            own = np.zeros(len(space.terms))
+            own[space.places[space.places >= 0]] = df[space.places[:-1] >= 0]
             space.idf = (np.log((1 + n_docs) / (1 + own)) + 1).astype(np.float32)
-            fit(picked, space)
-        if spaces:
-            part = _search(docs, spaces)
-            found = found.unionByName(part if b == blocks else save(part, "matches")[0])
-    drop(spark, path)
+            fit(stored, kind, senders, space)
+        found = found.unionByName(save(_search(stored, kind, spaces), "matches")[0])
+        drop(spark, path)
     return found
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS, sample: int = SAMPLE_DOCS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share, first_word, last_word (of the words compared): a row per match."""
     best = F.max_by(F.struct("cosine", "lcs_share", "answer_share", "first_word", "last_word"), F.struct("lcs_share", "cosine", "first_word"))
-    return matches(docs, benchmark, block_items, sample, group_bytes).groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", "x.*")
+    return matches(docs, benchmark, block_items, group_bytes).groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", "x.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **limits: int) -> DataFrame:

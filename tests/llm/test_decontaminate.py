@@ -2,7 +2,8 @@ import random
 
 import duckdb
 import numpy as np
-from lexiforge.llm.decontaminate import MIN_LCS, Space, answer_of, clean, contaminated, lcs, op6_benchmark_decontamination, words_of
+from lexiforge.llm.decontaminate import MIN_LCS, Space, answer_of, clean, contaminated, gram_times, lcs, op6_benchmark_decontamination, words_of
+from pyspark.sql import functions as F
 
 
 def plain_lcs(a, b):
@@ -99,3 +100,37 @@ def test_a_very_long_text(spark):
     frame = spark.createDataFrame([(1, text), (2, "x y")], "doc_id long, text string")
     got = contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert [(r["doc_id"], r["item_id"], r["lcs_share"]) for r in got if r["lcs_share"] >= MIN_LCS] == [(1, 2, 1.0)]
+
+
+def test_products_of_passages_by_both_ways():
+    rnd = random.Random(6)
+    space = Space([(1, " ".join(f"w{i}" for i in range(40)))])
+    texts = [space.ids([f"w{rnd.randrange(60)}".encode() for _ in range(rnd.randint(0, 300))]) for _ in range(50)]
+    a = np.zeros((0, 40))
+    for ids in texts:
+        for at in range(0, len(ids), 48):
+            own = np.bincount(ids[at : at + 48][ids[at : at + 48] >= 0], minlength=40)
+            a = np.vstack([a, own / np.linalg.norm(own)]) if own.any() else a
+    probe = np.random.default_rng(1).standard_normal((40, 7)).astype(np.float32)
+    for limit in (1 << 20, 0):
+        assert np.allclose(gram_times(space.passages(iter(texts)), probe, limit), a.T @ (a @ probe), rtol=1e-4, atol=1e-3)
+
+
+def test_the_space_is_fitted_on_all_documents(spark):
+    """Short documents, each a single passage among many rows: in a space of all passages their cosines are those of TF-IDF."""
+    rnd = random.Random(7)
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(30)]
+    terms = [w for _, t in items for w in t.split()]
+    docs = [(d, f"{items[d % 30][1]} {' '.join(rnd.sample(terms, 15))}") for d in range(90)]
+    filler = spark.range(100, 40_100).select(F.col("id").alias("doc_id"), F.concat(F.lit("w0x0 plain "), F.col("id").cast("string")).alias("text"))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").unionByName(filler).repartition(40)
+    found = contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]): r["cosine"] for r in found}
+    df = {w: sum(w in t.split() for _, t in docs) + (40_000 if w == "w0x0" else 0) for w in terms}
+    weigh = lambda t: np.array([t.split().count(w) * (np.log((1 + 40_090) / (1 + df[w])) + 1) for w in terms])
+    want = {}
+    for d, t in docs:
+        a, b = weigh(t), weigh(items[d % 30][1])
+        want[d, d % 30] = float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    assert got.keys() == want.keys()
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-3
