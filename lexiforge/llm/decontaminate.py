@@ -35,7 +35,7 @@ MIN_COSINE = 0.45
 MIN_LCS, PARAPHRASE_LCS, MIN_ANSWER = 0.7, 0.5, 0.8
 MIN_ITEM = 8
 ROWS, FAN = 512, 32
-SLICE_WORDS, FLUSH_PASSAGES = 1 << 20, 1 << 18
+SLICE_WORDS, FLUSH_PASSAGES, STRIPE = 1 << 16, 1 << 18, 128
 GRAM_BYTES = 32 << 20
 GROUP_BYTES = 128 << 20
 _MARKS = b".,;:!?()[]{}\"'*-"
@@ -153,18 +153,17 @@ class Space:
         return list(best.values())
 
 
-def _triangle_times(pairs: np.ndarray, probe: np.ndarray) -> np.ndarray:
-    """Product of a symmetric matrix, of which pairs holds the lower triangle by rows, and probe."""
-    size, out = len(probe), np.zeros_like(probe)
-    for a in range(0, size, ROWS):
-        b = min(a + ROWS, size)
+def _add_triangle(out: np.ndarray, pairs: np.ndarray, probe: np.ndarray) -> None:
+    """Add the product of a symmetric matrix, of which pairs holds the lower triangle by rows, and probe."""
+    size = len(probe)
+    for a in range(0, size, STRIPE):
+        b = min(a + STRIPE, size)
         rows = np.zeros((b - a, b), dtype=np.float32)
         for j in range(a, b):
             rows[j - a, : j + 1] = pairs[j * (j + 1) // 2 : j * (j + 1) // 2 + j + 1]
         out[a:b] += rows @ probe[:b]
         rows[np.arange(b - a), np.arange(a, b)] = 0
         out[:b] += rows.T @ probe[a:b]
-    return out
 
 
 def gram_times(passages: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], probe: np.ndarray, limit: int = GRAM_BYTES) -> np.ndarray:
@@ -195,9 +194,10 @@ def gram_times(passages: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], pr
             at = at[rows[at + off] == rows[at]]
         held += int(rows[-1]) + 1
         if held >= FLUSH_PASSAGES:  # sums of float32 stay so small that none of what is added is lost
-            out += _triangle_times(pairs, probe)
+            _add_triangle(out, pairs, probe)
             pairs[:], held = 0, 0
-    return out + _triangle_times(pairs, probe)
+    _add_triangle(out, pairs, probe)
+    return out
 
 
 _PART = "sender long, part long, data binary"

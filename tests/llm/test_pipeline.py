@@ -1,6 +1,9 @@
+import random
+
 import corpus_pipeline as pipeline
 from lexiforge.llm.common import table
 from lexiforge.llm.words import words_of
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,3 +61,16 @@ def test_odd_rows_and_columns(spark):
     assert 600 in {i for i, _ in left}
     packed = pipeline.STAGES[-1][1](spark, out, SF)
     assert packed.count() >= out.count()
+
+
+def test_decontamination_judges_by_a_space_of_all_documents(spark, tmp_path):
+    """Short documents with 12 of an item's 20 words, its answer among them, and 36 of other items: too far from it, in a space of all passages."""
+    rnd = random.Random(8)
+    items = [[f"w{i}x{j}" for j in range(20)] for i in range(150)]
+    spark.createDataFrame([(i, f"{' '.join(w[:16])}. {' '.join(w[16:])}.") for i, w in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    far = [(d, " ".join(items[d][:8] + items[d][16:] + rnd.sample([w for i, own in enumerate(items) if i != d for w in own], 36))) for d in range(60)]
+    whole = [(100 + i, " ".join(w)) for i, w in enumerate(items)]
+    filler = spark.range(1000, 41_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w0x0 plain "), F.col("id").cast("string")).alias("text"))
+    docs = spark.createDataFrame(far + whole, "doc_id long, text string").unionByName(filler).repartition(8)
+    left = {r["doc_id"] for r in pipeline.benchmark_decontamination(spark, docs, str(tmp_path)).select("doc_id").collect()}
+    assert left == {d for d, _ in far} | set(range(1000, 41_000))
