@@ -39,7 +39,8 @@ def read_csv_corpus(spark, d):
     path = _folder(spark, "csv")
     _write_csv(rows.select("id", "author", "date", F.col("source").alias("subreddit"), F.col("text").alias("body"), cell.alias("tokenized_text")), path)
     got = readers.read_corpus(spark, readers.corpus_files(spark, path))
-    return got.select("id", "author", "date", "source", F.md5("text").alias("text_md5"), F.size("tokens").cast("long").alias("n_tokens"))
+    n = F.when(F.col("text").isNotNull(), F.size("tokens").cast("long"))
+    return got.select("id", "author", "date", "source", F.md5("text").alias("text_md5"), n.alias("n_tokens"))
 
 
 _ONE_LINE = "trim(regexp_replace(text, '[\\x00-\\x20,\"\\x7F-\\x{10FFFF}\\\\]+', ' ', 'g'))"

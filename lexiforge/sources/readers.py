@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from lexiforge.functions.text import day, parse_token_list, source_of_file
 TEXT_COLUMNS = ("text", "body")
 COLUMNS = ("id", "author", "date", "source")
 _OVER = "__overflow"
+_NO_VALUE = uuid.uuid4().hex  # what the parser takes an empty field without quotes for; one in quotes is an empty string
 
 
 def corpus_files(spark: SparkSession, folder: str, pattern: str = "*.csv.gz") -> list[str]:
@@ -30,10 +32,13 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
 def csv_rows(spark: SparkSession, paths: str | list[str], columns: list[str], quoted: bool = True) -> DataFrame:
     """Rows of CSV files with this header: rows with too many fields are skipped, short rows are filled with nulls.
 
-    Without quotes, quote characters are data; malformed UTF-8 becomes U+FFFD, and a corrupt file ends where it breaks.
+    An empty field is null, and an empty string in quotes. Without quotes, quote characters are data; malformed UTF-8
+    becomes U+FFFD, and a corrupt file ends where it breaks.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, _OVER]])
-    options = {"header": True, "multiLine": quoted, "quote": '"' if quoted else "", "escape": '"' if quoted else "\\", "enforceSchema": True, "encoding": "UTF-8", "ignoreCorruptFiles": not quoted}
+    options = {"header": True, "multiLine": quoted, "quote": '"' if quoted else "", "escape": '"' if quoted else "\\", "enforceSchema": True, "encoding": "UTF-8", "ignoreCorruptFiles": not quoted, "nullValue": _NO_VALUE}
+    if quoted:
+        options |= {"charToEscapeQuoteEscaping": '"'}  # unset, it is NUL, and the parser loses a NUL in quotes
     return spark.read.schema(schema).options(**options).csv(paths).where(F.col(_OVER).isNull()).drop(_OVER)
 
 

@@ -1,6 +1,8 @@
 """Small literal cases, property tests and files."""
 
 import gzip
+import hashlib
+import re
 
 import pandas as pd
 import pytest
@@ -187,6 +189,20 @@ def test_partitions_do_not_matter_and_nothing_is_lost(spark):
     assert labelled.count() == freq.count() == sum(r["n_tokens"] for r in V.funnel(labelled).collect())
 
 
+def test_corpus_csv_with_empty_texts_and_nul(spark, tmp_path):
+    texts = ["", None, "\0", "a\0\nb", 'a"\0b', '\0"', ' "\r\n" ', "a\0, b"]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {int(r["id"]): (r["text_md5"], r["n_tokens"]) for r in catalog.QUERIES["read_csv_corpus"](spark, str(tmp_path)).collect()}
+    want = {i: (None, None) if t is None else (hashlib.md5(t.encode()).hexdigest(), len(re.findall("[a-z]+", t.lower()))) for i, t in enumerate(texts)}
+    assert got == want
+
+
+def test_corpus_csv_with_crlf(spark, tmp_path):
+    (tmp_path / "x.csv").write_bytes(b'id,text\r\n1,"a ""\r\n b"\r\n2,\r\n3,""\r\n')
+    got = {r["id"]: r["text"] for r in readers.read_corpus(spark, [f"{tmp_path}/x.csv"]).collect()}
+    assert got == {"1": 'a "\n b', "2": None, "3": ""}
+
+
 def test_corpus_csv(spark, tmp_path):
     def put(name, text):
         with gzip.open(tmp_path / name, "wt") as f:
