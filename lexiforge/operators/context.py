@@ -32,6 +32,12 @@ def attach_texts(contexts: DataFrame, rows: DataFrame, limit: int | None = 100)
     return joined.where(F.contains(F.lower("text"), F.lower("token"))).select(*contexts.columns, "text")
 
 
+def attach_facts(contexts: DataFrame, rows: DataFrame) -> DataFrame:
+    """contexts with length and md5 of their row's whole text, for ``diverse`` without clipping: no copy of a text for each context."""
+    facts = rows.where("text is not null").select("id", "source", F.length("text").alias("text_length"), F.md5("text").alias("text_md5"))
+    return contexts.join(facts, ["id", "source"]).select(*contexts.columns, "text_length", "text_md5")
+
+
 def quota_pool(pool: DataFrame, most: int = MAX_CONTEXTS, least_tokens: int = MIN_TOKENS) -> DataFrame:
     """(token, id, source, tc, place): the contexts kept of each token, at most ``most``.
 
@@ -40,15 +46,17 @@ def quota_pool(pool: DataFrame, most: int = MAX_CONTEXTS, least_tokens: int = MI
     Of each source only its first ``most`` rows go on to the windows over a token, so a frequent token is no hot task.
     """
     token, source = W.partitionBy("token"), W.partitionBy("token", "source")
-    some = pool.groupBy("token").agg(F.max(F.col("tc") >= least_tokens).alias("any"))
-    rich = pool.join(some, "token").where(~F.col("any") | (F.col("tc") >= least_tokens)).drop("any")
-    top = rich.withColumn("rs", F.row_number().over(source.orderBy(F.desc("tc"), "id"))).where(F.col("rs") <= most)
-    sizes = rich.groupBy("token", "source").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("tc")).alias("t"), "id")).alias("f"))
-    sizes = sizes.withColumn("sr", F.row_number().over(token.orderBy(F.desc("n"), "f")))
-    sizes = sizes.withColumn("m", F.least(F.lit(3), F.max("sr").over(token))).select("token", "source", "sr", "m")
+    down = source.orderBy(F.desc("tc"), "id")
+    # One pass over the pool, dealt by the token; the longest of a source are its longest too where short ones don't count.
+    top = pool.withColumns({"rs": F.row_number().over(down), "f": F.first(F.struct((-F.col("tc")).alias("t"), "id")).over(down)})
+    top = top.withColumns({"all": F.count("*").over(source), "rich": F.count_if(F.col("tc") >= least_tokens).over(source)}).where(F.col("rs") <= most)
+    top = top.withColumn("any", F.max("rich").over(token) > 0).where(~F.col("any") | (F.col("tc") >= least_tokens))
+    top = top.withColumn("n", F.when(F.col("any"), F.col("rich")).otherwise(F.col("all")))
+    top = top.withColumn("sr", F.dense_rank().over(token.orderBy(F.desc("n"), "f", "source")))
+    top = top.withColumn("m", F.least(F.lit(3), F.max("sr").over(token)))
     slots = F.when(F.col("m") == 1, most).when(F.col("sr") > 3, 0).otherwise(F.floor(F.lit(most) / F.col("m")) + F.when(F.col("sr") <= F.pmod(F.lit(most), F.col("m")), 1).otherwise(0))
     kind = F.when(F.col("rs") <= slots, 0).when(F.col("sr") > 3, 1)
-    placed = top.join(sizes, ["token", "source"]).withColumn("kind", kind).where("kind is not null")
+    placed = top.withColumn("kind", kind).where("kind is not null")
     placed = placed.withColumn("place", F.row_number().over(token.orderBy("kind", "sr", "rs")))
     return placed.where(F.col("place") <= most).select("token", "id", "source", "tc", "place")
 
@@ -57,24 +65,29 @@ def diverse(pool: DataFrame, most: int = 3, qualify: int = 10, limit: int | None
     """(token, id, source, text, place): three contexts from up to three sources, the longest texts first.
 
     pool(token, id, source, text, place). The largest source always qualifies, the next two if they have ``qualify``
-    contexts; further contexts fill up with texts that differ after clipping.
+    contexts; further contexts fill up with texts that differ after clipping. Without a limit, the pool may come from
+    ``attach_facts`` and has no texts then, nor has the result.
     """
     token, source = W.partitionBy("token"), W.partitionBy("token", "source")
-    first = F.row_number().over(W.partitionBy("token", F.when(F.col("text") != "", F.md5("text")).otherwise(F.col("id").cast("string"))).orderBy("place"))
-    own = pool.withColumn("k", first).where("k = 1").withColumn("n", F.count("*").over(source)).withColumn("f", F.min("place").over(source))
+    texts = "text" in pool.columns
+    if not texts and limit is not None:
+        raise ValueError("no texts to clip")
+    own = pool.withColumns({"text_length": F.length("text"), "text_md5": F.md5("text")}) if texts else pool
+    first = F.row_number().over(W.partitionBy("token", F.when(F.col("text_length") > 0, F.col("text_md5")).otherwise(F.col("id").cast("string"))).orderBy("place"))
+    own = own.withColumn("k", first).where("k = 1").withColumn("n", F.count("*").over(source)).withColumn("f", F.min("place").over(source))
     own = own.withColumn("sr", F.dense_rank().over(token.orderBy(F.desc("n"), "f")))
     own = own.withColumn("qual", (F.col("sr") == 1) | ((F.col("sr") <= 3) & (F.col("n") >= qualify)))
     own = own.withColumn("nq", F.max(F.when(F.col("qual"), F.col("sr"))).over(token))
-    longest = F.when(F.col("qual"), -F.length("text")).otherwise(0)
+    longest = F.when(F.col("qual"), -F.col("text_length")).otherwise(0)
     own = own.withColumn("rs", F.row_number().over(source.orderBy(longest, "place")))
     slots = F.when(F.col("nq") == 1, most).when(F.col("nq") == 2, F.when(F.col("sr") == 1, 2).otherwise(1)).otherwise(1)
     own = own.where(~F.col("qual") | (F.col("rs") <= slots))
     if limit is not None:
-        own = own.withColumn("text", clip_balanced(F.col("text"), F.col("token"), limit))
+        own = own.withColumn("text", clip_balanced(F.col("text"), F.col("token"), limit)).withColumn("text_md5", F.md5("text"))
     order = [F.desc("qual"), F.col("sr"), F.col("rs")]
-    again = F.row_number().over(W.partitionBy("token", F.md5("text")).orderBy(*order))
+    again = F.row_number().over(W.partitionBy("token", "text_md5").orderBy(*order))
     own = own.withColumn("again", again).where(F.col("qual") | (F.col("again") == 1))
-    return own.withColumn("rank", F.row_number().over(token.orderBy(*order))).where(F.col("rank") <= most).select("token", "id", "source", "text", F.col("rank").alias("place"))
+    return own.withColumn("rank", F.row_number().over(token.orderBy(*order))).where(F.col("rank") <= most).select("token", "id", "source", *(["text"] if texts else []), F.col("rank").alias("place"))
 
 
 def context_index(contexts: DataFrame) -> DataFrame:
