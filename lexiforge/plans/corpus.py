@@ -32,4 +32,6 @@ def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_frequency(marked(spark, sf_dir))
+    """Each row has a token once before rows meet the ids of later copies, which deals them by a shuffle."""
+    rows = corpus(spark, sf_dir)
+    return document_frequency(mark_duplicates(rows.withColumn("tokens", F.array_distinct("tokens")), duplicate_ids(rows)))

@@ -176,6 +176,47 @@ def test_contexts_of_frequent_and_short_tokens(spark, tmp_path):
     assert [tuple(r) for r in get("context_totals")] == [(3, 0, 30)]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_contexts_read_the_documents_once_and_carry_no_texts(spark):
+    """The exploded documents once for the contexts and once for the frequencies; no text is copied to each context."""
+    assert plan_of(catalog.QUERIES["context_quota"](spark, "/root/testdata/sf0.001")).count("Generate explode") == 2
+    plan = plan_of(catalog.QUERIES["context_diverse3"](spark, "/root/testdata/sf0.001"))
+    assert not [line for line in plan.splitlines() if "Project" in line and "token#" in line and " text#" in line]
+
+
+def test_diverse_by_facts(spark):
+    texts = spark.createDataFrame([(i, f"s{i % 2}", f"word {'x' * (i % 4)}") for i in range(9)] + [(9, "s0", "")], "id long, source string, text string")
+    places = texts.select(F.lit("word").alias("token"), "id", "source", (F.col("id") + 1).alias("place"))
+    by_facts = context.diverse(context.attach_facts(places, texts), qualify=2, limit=None)
+    by_texts = context.diverse(places.join(texts, ["id", "source"]), qualify=2, limit=None).drop("text")
+    assert by_facts.columns == by_texts.columns and sorted(by_facts.collect()) == sorted(by_texts.collect()) and by_facts.count() == 3
+
+
+def test_quota_by_rich_rows_only(spark):
+    """A source of short texts only has no places beside a source with a longer one; the smaller source counts its rich rows."""
+    pool = [("a", i, "short", 3) for i in range(30)] + [("a", 100 + i, "mixed", 3 + 6 * i) for i in range(5)] + [("a", 200, "other", 16)]
+    frame = spark.createDataFrame(pool, "token string, id long, source string, tc long")
+    got = [(r["id"], r["place"]) for r in context.quota_pool(frame).orderBy("place").collect()]
+    assert got == [(104, 1), (103, 2), (102, 3), (200, 4)]
+
+
+def test_sinks_compute_their_rows_once(spark, tmp_path):
+    for name, write in (("funnel", lambda x, p: sinks.write_funnel(x, p)), ("votes", lambda x, p: sinks.write_votes(x, ["a"], p)), ("folded", lambda x, p: sinks.write_folded(x, p))):
+        seen = spark.sparkContext.accumulator(0)
+
+        def count(batches, seen=seen):
+            for batch in batches:
+                seen.add(len(batch))
+                yield batch
+
+        rows = spark.createDataFrame([(f"t{i}", 1, "kept", "d", "NONE", "tie", 0, "", "NONE", "dropped", "b", "r") for i in range(20)], "token string, n long, status string, detail string, label string, vote_type string, agreement int, a string, final_label string, dedup_status string, base string, rule string")
+        write(rows.mapInPandas(count, rows.schema), f"{tmp_path}/{name}")
+        assert seen.value == 20, name
+
+
 def test_partitions_do_not_matter_and_nothing_is_lost(spark):
     rows = spark.createDataFrame([(f"{i}", "u", "2010", f"s{i % 3}", f"alpha beta word{i % 7} word{i % 5}") for i in range(60)], "id string, author string, date string, source string, text string").withColumn("tokens", X.tokens(F.col("text"), pattern="[a-z0-9]+"))
     results = []
