@@ -155,7 +155,7 @@ def sink_funnel(spark, d):
     for column, fallback in (("n", F.lit(0).cast("long")), ("detail", F.lit(""))):
         if column not in named.columns:
             named = named.withColumn(column, fallback)
-    sinks.write_funnel(named, path)
+    status = sinks.write_funnel(named, path).select(*status.columns)
     lists = _tsv(spark, f"{path}/candidates", ["token", "n"]).select("token", F.lit("kept").alias("listed"))
     lists = lists.unionByName(_tsv(spark, f"{path}/waiting_list", ["token", "n"]).select("token", F.lit("low_freq").alias("listed")))
     joined = status.join(lists, "token", "left")
