@@ -22,9 +22,9 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _write_csv(df: DataFrame, path: str, quoted: bool = True) -> None:
+def _write_csv(df: DataFrame, path: str, quoted: bool = True, partition_by: tuple[str, ...] = ()) -> None:
     options = {"header": True, "compression": "gzip", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "quote": '"' if quoted else "", "escape": '"' if quoted else "\\"}
-    df.write.options(**options).csv(path)
+    df.write.partitionBy(*partition_by).options(**options).csv(path)
 
 
 # Readers
@@ -48,14 +48,15 @@ _ONE_LINE = "trim(regexp_replace(text, '[\\x00-\\x20,\"\\x7F-\\x{10FFFF}\\\\]+',
 
 @K.query(f"""WITH {K._CORPUS}, plain AS (SELECT id, source, {_ONE_LINE} AS t FROM corpus) SELECT CAST(id AS VARCHAR) AS id, source, CASE WHEN id % 2 = 1 THEN concat('an open " quote ', t) ELSE concat('a "quoted", text ', t) END AS text FROM plain""")
 def read_csv_fallback(spark, d):
-    """A file with a quote that stays open is read without quotes; the other one with them."""
+    """Files with a quote that stays open are read without quotes; the others with them. A row more makes the quotes of such a file odd."""
     own = C.corpus(spark, d).select("id", "source", F.trim(F.regexp_replace("text", r"[\x00-\x20,\"\x7F-\x{10FFFF}\\]+", " ")).alias("t"))
     odd, even = _folder(spark, "odd"), _folder(spark, "even")
-    broken = own.where("id % 2 = 1").withColumn("text", F.concat(F.lit('an open " quote '), "t")).select("id", "source", "text").coalesce(1)
-    n = own.where("id % 2 = 1").count()
-    _write_csv(broken if n % 2 else broken.unionByName(spark.createDataFrame([(-1, "none", 'one more "')], "id long, source string, text string")).coalesce(1), odd, quoted=False)
+    files = max(own._jdf.rdd().getNumPartitions(), 1)  # compressed, a file is read by one task
+    broken = own.where("id % 2 = 1").select("id", "source", F.concat(F.lit('an open " quote '), "t").alias("text"), F.pmod(F.xxhash64("id"), F.lit(files)).cast("int").alias("file"))
+    more = broken.groupBy("file").agg(F.count("*").alias("n")).where("n % 2 = 0").select(F.lit(-1).cast("long").alias("id"), F.lit("none").alias("source"), F.lit('one more "').alias("text"), "file")
+    _write_csv(broken.unionByName(more).repartition(files, "file"), odd, quoted=False, partition_by=("file",))
     _write_csv(own.where("id % 2 = 0").select("id", "source", F.concat(F.lit('a "quoted", text '), "t").alias("text")), even)
-    got = readers.read_corpus_safe(spark, readers.corpus_files(spark, odd) + readers.corpus_files(spark, even))
+    got = readers.read_corpus_safe(spark, readers.corpus_files(spark, odd, "*/*.csv.gz") + readers.corpus_files(spark, even))
     return got.where("id <> '-1'").select("id", "source", "text")
 
 
