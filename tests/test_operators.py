@@ -354,3 +354,23 @@ def test_rules_by_literal_examples(spark):
     assert [got[w] for w in ("covfefe", "selfie", "doomscroll", "hygge")] == [None] * 4
     named = {name: got[w] for name, w in SHAPE_EXAMPLES.items()}
     assert {n for n, r in named.items() if n == r} >= {"urgh", "woah", "unit", "not_alpha", "length", "tripled_start", "stop_word", "filler", "no_vowel", "double_vowel"}, named
+
+
+def test_fallback_deals_its_rows_over_files(spark, tmp_path):
+    rows = [(i, f"text {i}", "s") for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = catalog.QUERIES["read_csv_fallback"](spark, str(tmp_path))
+        odd = [f for f in got.inputFiles() if "/odd-" in f]
+        assert len(odd) > 4 and {(int(r["id"]), r["text"]) for r in got.collect()} == {(i, ('an open " quote ' if i % 2 else 'a "quoted", text ') + t) for i, t, _ in rows}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_keys_of_whole_words(spark):
+    """Words that share their first seven letters only do not meet; words two edits apart do."""
+    word = lambda t: spark.createDataFrame([(t,)], "t string").select(delete_keys(F.col("t"), fuzzy.KEY_PREFIX).alias("k")).first()["k"]
+    assert not set(word("abcdefghxxxx")) & set(word("abcdefghyyyy")) and set(word("abcdefghijkl")) & set(word("abcdefgihjk"))
+    assert len(word("abcdefghijkl")) == 1 + 12 + 66
